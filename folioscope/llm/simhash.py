@@ -81,7 +81,7 @@ def trie_links(values: list[int], budget: int):
     while todo:
         alo, ahi, blo, bhi, bit, spent = todo.pop()
         if ahi - alo == 1 and bhi - blo == 1:
-            if alo != blo and ((values[alo] ^ values[blo]) & ((2 << bit) - 1)).bit_count() + spent <= budget:
+            if alo != blo and ((values[alo] ^ values[blo]) & ((1 << bit + 1) - 1)).bit_count() + spent <= budget:
                 yield alo, blo
             continue
         if alo == blo:
