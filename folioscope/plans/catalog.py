@@ -1,6 +1,107 @@
-"""The registered queries of the outline engine and their SQL."""
+"""The registered queries of the outline engine; their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT, Config, Rules
+from ..functions import text as T
+from ..operators import candidates as C
+from ..operators import classify as K
+from ..operators import ocr as R
+from ..operators import outline as O
+from ..sources import fixtures as S
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
+
+_SCORES = ["style_score", "position_score", "pattern_score", "semantic_score", "total_score"]
+
+
+def normalize_titles(spark, sf_dir):
+    text = F.col("text")
+    return S.lines(spark, sf_dir).select("doc_id", "line_seq", T.normalize(text).alias("title"), T.candidate_title(text).alias("candidate"), T.has_cjk(text).alias("cjk"))
+
+
+def position_pattern_semantic(spark, sf_dir):
+    text = F.col("text")
+    return S.lines(spark, sf_dir).select("doc_id", "line_seq", T.position_score(F.col("top_ratio")).alias("position"), T.pattern_score(text).alias("pattern"), T.semantic_score(text).alias("semantic"), T.numbered_level(text).alias("level"))
+
+
+def heading_fragments(spark, sf_dir):
+    return C.heading_fragments(S.lines(spark, sf_dir)).select("doc_id", "page_index", "line_seq", "single", "text", "x0", "y0", "x1", "y1", "font_size", "is_bold", "font_name", "top_ratio")
+
+
+def body_font_profile(spark, sf_dir):
+    return C.body_font(C.heading_fragments(S.lines(spark, sf_dir)))
+
+
+def scored_candidates(spark, sf_dir):
+    return C.candidates(S.lines(spark, sf_dir)).select("doc_id", "page_index", "line_seq", "single", "text", *_SCORES, "level_hint")
+
+
+def rule_stats(spark, sf_dir):
+    return C.rule_stats(C.scored_lines(C.heading_fragments(S.lines(spark, sf_dir))))
+
+
+def candidate_cap(spark, sf_dir):
+    one = Config(DEFAULT.score_weights, DEFAULT.thresholds, Rules(max_candidates_per_page=1))
+    return C.scored_lines(C.heading_fragments(S.lines(spark, sf_dir)), one).select("doc_id", "page_index", "line_seq", "single", "text")
+
+
+def font_bucket_levels(spark, sf_dir):
+    return C.candidates(S.lines(spark, sf_dir)).select("doc_id", "font_size", "bucket").distinct()
+
+
+def _judged(spark, sf_dir):
+    return O.judged(C.candidates(S.lines(spark, sf_dir)))
+
+
+def accept_reject(spark, sf_dir):
+    return C.candidates(S.lines(spark, sf_dir)).select("doc_id", "page_index", "line_seq", "single", "text", C.accepted().alias("accepted"))
+
+
+def outline_tree(spark, sf_dir):
+    return O.outline(_judged(spark, sf_dir))
+
+
+def rejected_nodes(spark, sf_dir):
+    return O.rejected(_judged(spark, sf_dir))
+
+
+def outline_text(spark, sf_dir):
+    return O.outline_text(O.outline(_judged(spark, sf_dir)))
+
+
+def classify_documents(spark, sf_dir):
+    return K.classify(S.pages(spark, sf_dir))
+
+
+def ocr_page_routing(spark, sf_dir):
+    pages = S.pages(spark, sf_dir)
+    return K.ocr_pages(pages, K.classify(pages))
+
+
+def ocr_line_coercion(spark, sf_dir):
+    return R.coerce_lines(S.ocr_raw(spark, sf_dir)).select("doc_id", "page_index", "line_seq", "text", "x0", "y0", "x1", "y1", "height")
+
+
+def ocr_body_height(spark, sf_dir):
+    return R.body_height(R.coerce_lines(S.ocr_raw(spark, sf_dir)))
+
+
+def ocr_candidates(spark, sf_dir):
+    return R.ocr_candidates(R.coerce_lines(S.ocr_raw(spark, sf_dir))).select("doc_id", "page_index", "line_seq", "single", "text", *_SCORES, "level_hint")
+
+
+def ocr_accept(spark, sf_dir):
+    return R.ocr_candidates(R.coerce_lines(S.ocr_raw(spark, sf_dir))).select("doc_id", "page_index", "line_seq", "single", C.accepted().alias("accepted"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        normalize_titles, position_pattern_semantic, heading_fragments, body_font_profile, scored_candidates, rule_stats, candidate_cap, font_bucket_levels, accept_reject,
+        outline_tree, rejected_nodes, outline_text, classify_documents, ocr_page_routing, ocr_line_coercion, ocr_body_height, ocr_candidates, ocr_accept,
+    )
+}
