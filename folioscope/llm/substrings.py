@@ -36,21 +36,23 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _anchored(length: int):
-    names = ["doc_id", "sha", "n_bytes", "grams"]
+    names = ["doc_id", "sha", "n_bytes", "grams", "times"]
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 b = batch.slice(lo, 1024)
-                sha, size, grams, cuts = [], [], [], [0]
+                sha, size, grams, times, cuts = [], [], [], [], [0]
                 for t in b.column(1):
                     data = (t.as_py() or "").encode()
                     sha.append(hashlib.sha256(data).digest())
                     size.append(len(data))
-                    grams.append(owned(data, length)[3])
+                    different, n = np.unique(owned(data, length)[3], return_counts=True)  # a text says once which grams it has
+                    grams.append(different)
+                    times.append(n)
                     cuts.append(cuts[-1] + len(grams[-1]))
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(_signed(np.concatenate(grams))))
-                yield pa.record_batch([b.column(0), pa.array(sha, pa.binary()), pa.array(size, pa.int64()), lists], names=names)
+                lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x)) for x in (_signed(np.concatenate(grams)), np.concatenate(times).astype(np.int32))]
+                yield pa.record_batch([b.column(0), pa.array(sha, pa.binary()), pa.array(size, pa.int64()), *lists], names=names)
 
     return run
 
@@ -203,11 +205,11 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_c
     spark = docs.sparkSession
     ship(spark)
     texts = id_text(docs, id_col, text_col)
-    anchored = durable(texts.mapInArrow(_anchored(length), "doc_id long, sha binary, n_bytes long, grams array<long>"), "anchored")
+    anchored = durable(texts.mapInArrow(_anchored(length), "doc_id long, sha binary, n_bytes long, grams array<long>, times array<int>"), "anchored")
     copies = durable(anchored.groupBy("sha").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("one")), "copies")
     # Each different text once: rows that repeat an id and a text are copies as well, and marked as such.
-    firsts = durable(anchored.filter(F.size("grams") > 0).join(copies, "sha").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("sha", "doc_id", (F.col("many") > 1).alias("many"), F.explode("grams").alias("h")), "grams")
-    counts = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = durable(anchored.filter(F.size("grams") > 0).join(copies, "sha").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("sha", "doc_id", (F.col("many") > 1).alias("many"), F.explode(F.arrays_zip("grams", "times")).alias("g")).select("sha", "doc_id", "many", F.col("g.grams").alias("h"), F.col("g.times").alias("times")), "grams")
+    counts = firsts.groupBy("h").agg(F.sum("times").alias("n")).filter("n > 1")
     shared = firsts.join(counts, "h").groupBy("sha", "doc_id", "many").agg(F.collect_set(F.struct("h", "n")).alias("grams"))
     keyed = texts.withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
     wanted = keyed.join(shared.withColumnRenamed("doc_id", "one"), "sha").filter(F.col("doc_id").eqNullSafe(F.col("one")))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fresh_path, ship
+from .common import durable, fresh_path, ship, task_count
 from .zipstore import Reader, Writer
 
 LINE, RANGE, REQUEST = 64, 2048, 4 << 20
@@ -160,7 +160,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     ship(manifest.sparkSession)
     cuts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("records") - 1, F.lit(RANGE).cast("long"))).alias("first")
     ranges = manifest.filter("records > 0").select("path", "name", "size", "records", cuts).select("path", "name", "size", "first", F.least(F.lit(RANGE).cast("long"), F.col("records") - F.col("first")).alias("count"))
-    return ranges.repartition("path", "first").mapInArrow(_read, RECORDS)
+    return ranges.repartition(task_count(manifest.sparkSession), "path", "first").mapInArrow(_read, RECORDS)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
