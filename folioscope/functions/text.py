@@ -51,8 +51,7 @@ def units(c: Column) -> Column:
 
 
 def join_parts(a: Column, b: Column) -> Column:
-    """Two parts of a text heading."""
-    a, b = candidate_title(a), candidate_title(b)
+    """Two parts of a text heading, candidate titles both."""
     return F.when(a == "", b).when(b == "", a).when(has_cjk(a) | has_cjk(b), F.concat(a, b)).otherwise(F.concat(a, F.lit(" "), b))
 
 
@@ -68,22 +67,22 @@ def is_section(value: Column) -> Column:
     return value.rlike(SECTION) | value.rlike(SECTION_LATIN + END)
 
 
-def pattern_score(c: Column) -> Column:
-    value = normalize(c)
+def pattern_score(value: Column) -> Column:
+    """Of a normalised title."""
     return F.when(value == "", lit(0)).when(is_top(value), lit(1)).when(is_section(value), lit(0.9)).when(value.rlike(DECIMAL), lit(1)).otherwise(lit(0))
 
 
-def semantic_score(c: Column) -> Column:
-    value = F.lower(normalize(c))
+def semantic_score(title: Column) -> Column:
+    """Of a normalised title."""
+    value = F.lower(title)
     found = F.lit(False)
     for word in KEYWORDS:
         found |= value.contains(word)
     return F.when(found, lit(0.6)).otherwise(lit(0))
 
 
-def numbered_level(c: Column) -> Column:
-    """The level that a heading's numbering tells, or null."""
-    value = normalize(c)
+def numbered_level(value: Column) -> Column:
+    """The level that a normalised title's numbering tells, or null."""
     parts = F.size(F.split(F.regexp_extract(value, DECIMAL, 1), r"\."))
     return F.when(value == "", F.lit(None).cast("int")).when(is_top(value), F.lit(1)).when(is_section(value), F.lit(2)).when(value.rlike(DECIMAL), F.least(F.lit(6), parts))
 

@@ -35,24 +35,24 @@ def heading_fragments(lines: DataFrame) -> DataFrame:
     """Lines with number-only headings joined to the one or two lines below; adds ``single``. One window over a page does it."""
     page = Window.partitionBy("doc_id", "page_index").orderBy("y0", "x0", "line_seq")
     fields = ["text", *BOX, "font_size", "is_bold", "font_name", "page_height", "top_ratio", "line_seq"]
-    row = F.struct(*fields)
-    seen = lines.select("doc_id", "page_index", "y0", "x0", "line_seq", row.alias("a"), F.lead(row, 1).over(page).alias("b"), F.lead(row, 2).over(page).alias("c"))
+    row = F.struct(*fields, "title")
+    seen = lines.withColumn("title", candidate_title(F.col("text"))).select("doc_id", "page_index", "y0", "x0", "line_seq", row.alias("a"), F.lead(row, 1).over(page).alias("b"), F.lead(row, 2).over(page).alias("c"))
     a, b, c = (F.col(x) for x in "abc")
     gap, gap2 = b["y0"] - a["y1"], c["y0"] - b["y1"]
     joins = (
-        squeeze(candidate_title(a["text"])).rlike(TEXT_PREFIX) & (a["top_ratio"] <= lit(0.35)) & (b["top_ratio"] <= lit(0.38))
+        squeeze(a["title"]).rlike(TEXT_PREFIX) & (a["top_ratio"] <= lit(0.35)) & (b["top_ratio"] <= lit(0.38))
         & (gap >= lit(-2)) & (gap <= F.greatest(lit(50), F.greatest(lit(0), a["y1"] - a["y0"]) * lit(2.4)))
-        & (units(candidate_title(b["text"])) <= 32) & (b["font_size"] >= a["font_size"] * lit(0.65))
+        & (units(b["title"]) <= 32) & (b["font_size"] >= a["font_size"] * lit(0.65))
     )
     extends = (
-        (units(candidate_title(c["text"])) <= 24) & (c["font_size"] >= b["font_size"] * lit(0.8)) & (c["font_size"] <= b["font_size"] * lit(1.2))
+        (units(c["title"]) <= 24) & (c["font_size"] >= b["font_size"] * lit(0.8)) & (c["font_size"] <= b["font_size"] * lit(1.2))
         & (gap2 >= lit(-2)) & (gap2 <= F.greatest(lit(36), F.greatest(lit(0), b["y1"] - b["y0"]) * lit(2.0)))
-        & ~squeeze(candidate_title(c["text"])).rlike("^[一二三四五六七八九十]")
+        & ~squeeze(c["title"]).rlike("^[一二三四五六七八九十]")
     )
     flagged = seen.withColumn("joins", F.coalesce(joins, F.lit(False))).withColumn("extends", F.col("joins") & F.coalesce(extends, F.lit(False)))
     before = lambda name, n: F.coalesce(F.lag(name, n).over(page), F.lit(False))
     flagged = flagged.withColumn("gone", F.col("joins") | before("joins", 1) | before("extends", 2))
-    first_text = join_parts(a["text"], b["text"])
+    first_text = join_parts(a["title"], b["title"])
 
     def joined(text: Column, *parts: Column) -> Column:
         x0, y0, x1, y1 = _union(*parts)
@@ -62,7 +62,7 @@ def heading_fragments(lines: DataFrame) -> DataFrame:
         return F.struct(text.alias("text"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), F.greatest(*(p["font_size"] for p in parts)).alias("font_size"), bold.alias("is_bold"), name.alias("font_name"), a["page_height"].alias("page_height"), top_ratio(y0, a["page_height"]).alias("top_ratio"), a["line_seq"].alias("line_seq"), F.lit(0).alias("single"))
 
     alone = F.struct(*(a[f].alias(f) for f in fields), F.lit(1).alias("single"))
-    both = F.when(F.col("extends"), joined(join_parts(first_text, c["text"]), a, b, c)).when(F.col("joins"), joined(first_text, a, b))
+    both = F.when(F.col("extends"), joined(join_parts(candidate_title(first_text), c["title"]), a, b, c)).when(F.col("joins"), joined(first_text, a, b))
     out = F.filter(F.array(both, F.when(~F.col("gone"), alone)), lambda x: x.isNotNull())
     return flagged.select("doc_id", "page_index", F.explode(out).alias("f")).select("doc_id", "page_index", "f.*")
 
@@ -81,8 +81,8 @@ def body_font(fragments: DataFrame) -> DataFrame:
 def scored_lines(fragments: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """Lines of fitting length that are candidates, at most so many a page in reading order, with their four scores and the total."""
     rules = config.rules
-    title = candidate_title(F.col("text"))
-    sized = fragments.join(body_font(fragments), "doc_id").withColumn("text", title).filter(units(F.col("text")).between(rules.min_line_chars, rules.max_line_chars))
+    titled = fragments.withColumn("text", candidate_title(F.col("text"))).filter(units(F.col("text")).between(rules.min_line_chars, rules.max_line_chars))
+    sized = titled.join(body_font(fragments), "doc_id")
     changed = (F.col("body_name") != "") & (F.col("font_name") != F.col("body_name"))
     scored = (
         sized.withColumn("style_score", style_score(F.col("font_size"), F.col("body_size"), F.col("is_bold"), changed))

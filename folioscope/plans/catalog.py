@@ -24,8 +24,8 @@ def normalize_titles(spark, sf_dir):
 
 
 def position_pattern_semantic(spark, sf_dir):
-    text = F.col("text")
-    return S.lines(spark, sf_dir).select("doc_id", "line_seq", T.position_score(F.col("top_ratio")).alias("position"), T.pattern_score(text).alias("pattern"), T.semantic_score(text).alias("semantic"), T.numbered_level(text).alias("level"))
+    text = F.col("title")
+    return S.lines(spark, sf_dir).withColumn("title", T.normalize(F.col("text"))).select("doc_id", "line_seq", T.position_score(F.col("top_ratio")).alias("position"), T.pattern_score(text).alias("pattern"), T.semantic_score(text).alias("semantic"), T.numbered_level(text).alias("level"))
 
 
 def heading_fragments(spark, sf_dir):
