@@ -5,8 +5,8 @@ for "reject" grows condition by condition by information gain on two thirds of t
 other third while that doesn't lower its worth, and is taken if its precision on both holds ``MIN_PRECISION``; the rows it
 covers go and the next one grows. The list is ``when(rule, false) ... otherwise(true)``: it runs in the JVM and can be read.
 
-At most ``SAMPLE`` labelled documents (those with the least hash of their id) reach the driver, eleven numbers each:
-the bound of what the fit sees. Everything else covers all rows. Without labels of both kinds the list is empty, and the
+At most ``SAMPLE`` labelled documents, chosen by a hash of their ids, reach the driver, eleven numbers each: the bound of
+what the fit sees. Everything else covers all rows. Without labels of both kinds the list is empty, and the
 base rule alone decides.
 
 A null text has no words and fails the base rule. Labels with a null in id or quality don't count, and a document with
@@ -179,7 +179,10 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Rules from (doc_id, quality 0 or 1) rows; quality 0 is what rules are to reject. Documents that fail the base rule need none."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null")
-    rows = stats.filter(~base_failed()).join(known, "doc_id").select("quality", *COUNTS, F.xxhash64("doc_id").alias("_order")).orderBy("_order", "quality", *COUNTS).limit(sample).toPandas()
+    labelled = stats.filter(~base_failed()).join(known, "doc_id").select("quality", *COUNTS, F.xxhash64("doc_id").alias("_order"))
+    if (n := labelled.count()) > sample:  # before rows are sent: each task would send as many as are wanted in all
+        labelled = labelled.filter(F.pmod("_order", F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    rows = labelled.orderBy("_order", "quality", *COUNTS).limit(sample).toPandas()
     bad = (rows["quality"] == 0).to_numpy()
     return learn(rates({c: rows[c].to_numpy(np.float64) for c in COUNTS}), bad) if bad.any() and not bad.all() else []
 

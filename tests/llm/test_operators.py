@@ -173,6 +173,12 @@ def test_quality(spark, docs, sf_dir):
         assert quality.statistics(text)[:5] == naive_stats(text)
 
 
+def test_sample_is_bounded(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    stats = quality.text_statistics(docs)
+    assert isinstance(quality.fit(stats, labels, sample=10), list) and quality.fit(stats, labels, sample=0) == []
+
+
 def test_quality_holds_on_labels(spark):
     sf = "/root/testdata/sf0.01"
     kept = {r.doc_id: r for r in catalog.op5_quality(spark, sf).collect()}
