@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import pretoken, vocab
 from .common import id_text, ship
 
-CACHE, CACHED_CHARS, LONG, ROWS = 500_000, 64, 256, 400_000
+CACHE, CACHED_CHARS, LONG, ROWS = 1_200_000, 64, 256, 400_000
 
 #: best: least rank and, below it, the leftmost place that has it; the row after that place goes.
 ENCODE = """
