@@ -2,8 +2,8 @@
 
 Each task's words are tables of (word, position, token) rows. A recursive query joins adjacent rows with the table of
 merges, contracts each word's leftmost pair of the least rank, and ends when no word has one. A worker keeps the ids of
-up to ``CACHE`` short words between tasks, so only words that are new to it are rows. Decoding expands ids to rows,
-joins the vocabulary's bytes and puts them together in order.
+up to ``CACHE`` short words between tasks, those met last, so only words that are new to it are rows. Decoding expands ids to rows,
+joins the vocabulary's bytes and puts them together in order. ``round_trip`` does both in one worker.
 
 Null is the empty text: no ids, no bytes. Null ids keep their rows, repeated rows get one each, an empty table gives an
 empty table, other columns are ignored. A word longer than ``LONG`` bytes would need as many rounds as it has merges:
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import pretoken, vocab
 from .common import id_text, ship
 
-CACHE, CACHED_CHARS, LONG, ROWS = 1_200_000, 64, 256, 400_000
+CACHE, CACHED_CHARS, LONG, ROWS = 600_000, 64, 256, 400_000
 
 #: best: least rank and, below it, the leftmost place that has it; the row after that place goes.
 ENCODE = """
@@ -80,11 +80,12 @@ group by d
 
 
 class Coder(dict):
-    """Word to its ids (a text of decimals); tables of merges and bytes in a DuckDB of this worker."""
+    """Word to its ids (little-endian, 4 bytes each), in two generations; tables of merges and bytes in a DuckDB of this worker."""
 
     def __init__(self, data: bytes):
         import duckdb
 
+        self.older: dict[str, bytes] = {}
         ranks = vocab.ranks(data)
         self.first = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -119,9 +120,17 @@ class Coder(dict):
         return out
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Encodes words; short ones are kept. The long ones' ids are returned."""
+        """Makes the short ones of these words part of the younger generation; the long ones' ids are returned."""
+        if len(self) > CACHE // 2:
+            self.older = dict(self)
+            self.clear()
         short, much, extra = [], 0, {}
         for word in words:
+            if word in self:
+                continue
+            if (known := self.older.get(word)) is not None:
+                self[word] = known
+                continue
             data = word.encode()
             if len(data) > LONG:
                 extra[word] = self.encode([data], ENCODE_LONG)[0].astype("<u4").tobytes()
@@ -172,14 +181,12 @@ def _encoded(sent):
         library = None
         for batch in batches:
             for b in _pieces(batch):
-                if len(coder) > CACHE:
-                    coder.clear()
                 texts = [t.as_py() or "" for t in b.column(1)]
                 parted = [pretoken.words(t, library := library or library_words(sent.value)) for t in texts]
                 new = set()
                 for ws in parted:
                     new.update(ws)
-                extra = coder.learn({w for w in new if w not in coder})
+                extra = coder.learn(new)
                 find = (lambda w: extra[w] if w in extra else coder[w]) if extra else coder.__getitem__
                 joined = [b"".join(map(find, ws)) for ws in parted]
                 flat = np.frombuffer(b"".join(joined), "<u4").astype(np.int32)
@@ -211,18 +218,19 @@ def _decoded(sent):
     return run
 
 
+def _send(rows: DataFrame, ranks: str | None):
+    ship(rows.sparkSession)
+    return vocab.send(rows.sparkSession, ranks or vocab.public_path("byte_bpe_50k.tiktoken"))
+
+
 def encode(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids. ``ranks``: path of a byte-level .tiktoken file."""
-    ship(docs.sparkSession)
-    sent = vocab.send(docs.sparkSession, ranks or vocab.public_path("byte_bpe_50k.tiktoken"))
-    return id_text(docs, id_col, text_col).mapInArrow(_encoded(sent), "doc_id long, ids array<int>")
+    return id_text(docs, id_col, text_col).mapInArrow(_encoded(_send(docs, ranks)), "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, ranks: str | None = None) -> DataFrame:
     """(doc_id, ids) to doc_id, ids, decoded: the bytes that the ids stand for."""
-    ship(coded.sparkSession)
-    sent = vocab.send(coded.sparkSession, ranks or vocab.public_path("byte_bpe_50k.tiktoken"))
-    return coded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(_decoded(sent), "doc_id long, ids array<int>, decoded binary")
+    return coded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(_decoded(_send(coded, ranks)), "doc_id long, ids array<int>, decoded binary")
 
 
 def _digests(batches):
@@ -235,6 +243,11 @@ def _digests(batches):
             yield pa.record_batch([b.column(0), pa.array([len(x) for x in rows], pa.int64()), pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in rows]), pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in b.column(2)])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def round_trip(docs: DataFrame, ranks: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of texts that are encoded and decoded again."""
-    return decode(encode(docs, ranks), ranks).mapInArrow(_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def round_trip(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of texts that are encoded and decoded again, in one worker a task."""
+    sent = _send(docs, ranks)
+
+    def run(batches):
+        return _digests(_decoded(sent)(_encoded(sent)(batches)))
+
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
