@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import pretoken, vocab
 from .common import id_text, ship
 
-CACHE, CACHED_CHARS, LONG, ROWS = 600_000, 64, 256, 400_000
+CACHE, CACHED_CHARS, LONG, ROWS = 1_000_000, 64, 256, 400_000
 
 #: best: least rank and, below it, the leftmost place that has it; the row after that place goes.
 ENCODE = """
@@ -33,11 +33,17 @@ with recursive step(w, p, t, live) as (
     union all
     select w, p, case when p = best & 4294967295 then (best >> 32)::integer else t end, best is not null
     from (
-        select s.w, s.p, s.t, s.before, min((m.rank::bigint << 32) | s.p) over (partition by s.w) as best
-        from (
-            select w, p, t, lead(t) over word as after, lag(p) over word as before
-            from step where live window word as (partition by w order by p)
-        ) s left join merges m on m.pair = (s.t::bigint << 32) | s.after
+        with placed as materialized (
+            select w, p, t, case when lead(w) over word = w then lead(t) over word end as after,
+                case when lag(w) over word = w then lag(p) over word end as before
+            from step where live window word as (order by w, p)
+        )
+        select placed.*, best
+        from placed left join (
+            select w, min((rank::bigint << 32) | p) as best
+            from placed join merges on pair = (t::bigint << 32) | after
+            group by w
+        ) using (w)
     )
     where best is null or before is distinct from best & 4294967295
 )
@@ -105,20 +111,23 @@ class Coder(dict):
         finally:
             self.db.unregister(name)
 
-    def encode(self, words: list[bytes], query: str = ENCODE) -> list[np.ndarray]:
-        """The ids of each word; words have at least a byte."""
+    def _coded(self, words: list[bytes], query: str = ENCODE) -> list[bytes]:
+        """The ids of each word, 4 bytes each; words have at least a byte."""
         size = np.fromiter(map(len, words), np.int64, len(words))
         w = np.repeat(np.arange(len(words), dtype=np.int32), size)
         p = (np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
         got = self._run(query, "symbols", pa.table({"w": w, "p": p, "t": self.first[np.frombuffer(b"".join(words), np.uint8)]}))
-        ids = got.column("ids").combine_chunks() if got.num_rows else None
-        out: list = [None] * len(words)
-        if ids is not None:
-            flat, cuts = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+        out = [b""] * len(words)
+        if got.num_rows:
+            ids = got.column("ids").combine_chunks()
+            flat, cuts = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes(), (4 * ids.offsets.to_numpy().astype(np.int64)).tolist()
             for w_, lo, hi in zip(got.column("w").to_pylist(), cuts, cuts[1:], strict=False):
                 out[w_] = flat[lo:hi]
         return out
 
+    def encode(self, words: list[bytes], query: str = ENCODE) -> list[np.ndarray]:
+        return [np.frombuffer(x, "<u4").astype(np.int32) for x in self._coded(words, query)]
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Makes the short ones of these words part of the younger generation; the long ones' ids are returned."""
         if len(self) > CACHE // 2:
@@ -133,7 +142,7 @@ class Coder(dict):
                 continue
             data = word.encode()
             if len(data) > LONG:
-                extra[word] = self.encode([data], ENCODE_LONG)[0].astype("<u4").tobytes()
+                extra[word] = self._coded([data], ENCODE_LONG)[0]
                 continue
             short.append((word, data))
             much += len(data)
@@ -145,8 +154,8 @@ class Coder(dict):
 
     def _keep(self, short: list[tuple[str, bytes]], extra: dict[str, bytes]) -> None:
         if short:
-            for (word, _), ids in zip(short, self.encode([d for _, d in short]), strict=True):
-                (self if len(word) <= CACHED_CHARS else extra)[word] = ids.astype("<u4").tobytes()
+            for (word, _), ids in zip(short, self._coded([d for _, d in short]), strict=True):
+                (self if len(word) <= CACHED_CHARS else extra)[word] = ids
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
@@ -165,8 +174,8 @@ def _coder(data: bytes) -> Coder:
     return Coder(data)
 
 
-def _pieces(b: pa.RecordBatch, limit: int = 1 << 20):
-    """Slices of about ``limit`` characters."""
+def _pieces(b: pa.RecordBatch, limit: int = 3 << 20):
+    """Slices of about ``limit`` characters: large enough that a query's fixed cost is small beside its words."""
     lo = much = 0
     for i, t in enumerate(b.column(1)):
         much += len(t.as_py() or "")
