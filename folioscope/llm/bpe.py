@@ -2,7 +2,7 @@
 
 Each task's words are tables of (word, position, token) rows. A recursive query joins adjacent rows with the table of
 merges, contracts each word's leftmost pair of the least rank, and ends when no word has one. A worker keeps the ids of
-up to ``CACHE`` short words between tasks, those met last, so only words that are new to it are rows. Decoding expands ids to rows,
+up to ``CACHE`` short words between tasks, those met last, so only words that are new to it are rows. Decoding makes ids rows,
 joins the vocabulary's bytes and puts them together in order. ``round_trip`` does both in one worker.
 
 Null is the empty text: no ids, no bytes. Null ids keep their rows, repeated rows get one each, an empty table gives an
@@ -78,9 +78,10 @@ with recursive step(w, p, t, live) as (
 select w, list(t order by p) as ids from step where not live group by w
 """
 
+#: Bytes are written as the 256 first characters.
 DECODE = """
-select d, string_agg(v.hex, '' order by i) as hex
-from (select d, unnest(ids) as t, generate_subscripts(ids, 1) as i from coded) join vocabulary v using (t)
+select d, string_agg(chars, '' order by i) as chars
+from coded join vocabulary using (t)
 group by d
 """
 
@@ -98,7 +99,7 @@ class Coder(dict):
         left, right, rank = (np.array(x, np.int64) for x in zip(*merges, strict=True))
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         self.db.register("given_merges", pa.table({"pair": left << 32 | right, "rank": rank.astype(np.int32)}))
-        self.db.register("given_bytes", pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "hex": [t.hex() for t in ranks]}))
+        self.db.register("given_bytes", pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "chars": [t.decode("latin-1") for t in ranks]}))
         self.db.execute("create table merges as from given_merges")
         self.db.execute("create table vocabulary as from given_bytes")
         self.db.unregister("given_merges")
@@ -160,12 +161,11 @@ class Coder(dict):
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of each list of ids."""
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32)))
-        got = self._run(DECODE, "coded", pa.table({"d": pa.array(np.arange(len(ids), dtype=np.int32)), "ids": lists}))
+        rows = {"d": np.repeat(np.arange(len(ids), dtype=np.int32), size), "i": np.arange(size.sum()), "t": np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32)}
+        got = self._run(DECODE, "coded", pa.table(rows))
         out = [b""] * len(ids)
-        for d, x in zip(got.column("d").to_pylist(), got.column("hex").to_pylist(), strict=True):
-            out[d] = bytes.fromhex(x)
+        for d, x in zip(got.column("d").to_pylist(), got.column("chars").to_pylist(), strict=True):
+            out[d] = x.encode("latin-1")
         return out
 
 
