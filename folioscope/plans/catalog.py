@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config, Rules
+from ..functions import similarity as M
 from ..functions import text as T
 from ..operators import candidates as C
 from ..operators import classify as K
+from ..operators import contents as P
+from ..operators import evaluate as E
+from ..operators import layout as L
 from ..operators import ocr as R
 from ..operators import outline as O
 from ..sources import fixtures as S
@@ -98,10 +103,43 @@ def ocr_accept(spark, sf_dir):
     return R.ocr_candidates(R.coerce_lines(S.ocr_raw(spark, sf_dir))).select("doc_id", "page_index", "line_seq", "single", C.accepted().alias("accepted"))
 
 
+def items_to_lines(spark, sf_dir):
+    return L.items_to_lines(S.items(spark, sf_dir)).select("doc_id", "page_index", "text", "y0", "y1", "font_size", "is_bold", "font_name", "top_ratio")
+
+
+def same_row_clusters(spark, sf_dir):
+    return L.same_rows(R.coerce_lines(S.ocr_raw(spark, sf_dir)).select("doc_id", "page_index", "line_seq", "x0", "y0", "y1"))
+
+
+def structural_entries(spark, sf_dir):
+    return P.structural_entries(S.entries(spark, sf_dir))
+
+
+def title_similarity(spark, sf_dir):
+    titled = S.lines(spark, sf_dir).withColumn("following", F.lead("text").over(Window.partitionBy("doc_id").orderBy("line_seq")))
+    return titled.select("doc_id", "line_seq", M.title_similarity(F.col("text"), F.coalesce("following", F.lit(""))).alias("similarity"))
+
+
+def dedupe_nodes(spark, sf_dir):
+    return P.dedupe_nodes(S.lines(spark, sf_dir).select("doc_id", "page_index", "line_seq", T.normalize(F.col("text")).alias("title"), (F.col("line_seq") % 4 + 1).cast("int").alias("level")))
+
+
+def _moved(nodes):
+    """An outline with every fifth title missing, some titles longer and some pages off."""
+    n = F.col("node_seq")
+    return nodes.filter(n % 5 != 3).withColumn("title", F.when(n % 4 == 1, F.concat("title", F.lit(" x"))).otherwise(F.col("title"))).withColumn("page_index", F.col("page_index") + n % 4)
+
+
+def outline_eval(spark, sf_dir):
+    nodes = O.outline(_judged(spark, sf_dir))
+    return E.evaluation(nodes, _moved(nodes))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_titles, position_pattern_semantic, heading_fragments, body_font_profile, scored_candidates, rule_stats, candidate_cap, font_bucket_levels, accept_reject,
         outline_tree, rejected_nodes, outline_text, classify_documents, ocr_page_routing, ocr_line_coercion, ocr_body_height, ocr_candidates, ocr_accept,
+        items_to_lines, same_row_clusters, structural_entries, title_similarity, dedupe_nodes, outline_eval,
     )
 }

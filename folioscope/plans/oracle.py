@@ -197,4 +197,10 @@ ORACLE = {
     "ocr_body_height": f"with {_OCR} select doc_id, body_height from height",
     "ocr_candidates": f"with {_OCR_CANDIDATES} select doc_id, page_index, line_seq, single, text, {_SCORES}, level_hint from candidates",
     "ocr_accept": f"with {_OCR_CANDIDATES} select doc_id, page_index, line_seq, single, (semantic_score >= 0.6{D} and position_score >= 0.6{D} and total_score >= 0.5{D}) or total_score >= 0.85{D} as accepted from candidates",
+    "items_to_lines": f"with {_LINES} select doc_id, page_index, {_norm('text')} as text, y0, y1, font_size, is_bold, font_name, top_ratio from lines where {_norm('text')} <> ''",
+    "structural_entries": f"""with {_LINES}, rows as (select doc_id, line_seq, {_norm("text")} as title, case when page_index % 3 <> 0 then page_index + 3 end as printed, (page_index // 8)::int as source_page_index, line_seq{D} as y from lines where text like '第%'),
+        keyed as (select *, regexp_extract({_squeeze("title")}, '{STRUCTURAL}', 1) as key from rows),
+        once as (select * from keyed where key <> '' qualify row_number() over (partition by doc_id, key order by source_page_index, y, printed nulls last, line_seq) = 1),
+        near as (select *, first_value(printed ignore nulls) over (p rows between 1 following and unbounded following) as after, last_value(printed ignore nulls) over (p rows between unbounded preceding and 1 preceding) as before, row_number() over p - 1 as seq from once window p as (partition by doc_id order by source_page_index, y, printed nulls last, line_seq))
+        select doc_id, seq::int as entry_seq, title, case when regexp_matches(title, '{CHAPTER}') then 2 else 1 end as level, coalesce(printed, case when regexp_matches(title, '{VOLUME}') and after is not null then greatest(1, after - 2) else before end)::int as printed_page, source_page_index, y, 0.9{D} as confidence from near""",
 }

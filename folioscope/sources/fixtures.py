@@ -50,3 +50,18 @@ def ocr_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.col("doc_id") % 7 != 0
     box = [F.when(held, lit(2) * F.col(c)).alias("b" + c) for c in ("x0", "y0", "x1", "y1")]
     return lines(spark, sf_dir).select("doc_id", "page_index", (F.col("line_seq") % 4).alias("line_no"), "text", lit(2).alias("render_scale"), "page_height", *box, (lit(0.8) + lit(0.02) * (F.col("line_seq") % 10).cast("double")).alias("confidence"))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of ``lines`` as items: doc_id, page_index, item_seq, text, x0..y1, font_size, is_bold, font_name, page_height, has_eol."""
+    words = F.split("text", " ")
+    before = F.when(F.col("k") > 0, F.length(F.array_join(F.slice("words", 1, F.col("k")), " ")) + 1).otherwise(0)
+    each = lines(spark, sf_dir).withColumn("words", words).select("*", F.posexplode("words").alias("k", "word")).filter(F.trim("word") != "").withColumn("x0", lit(72) + lit(6) * before.cast("double"))
+    return each.select("doc_id", "page_index", (F.col("line_seq") * 1000 + F.col("k")).alias("item_seq"), F.col("word").alias("text"), "x0", "y0", (F.col("x0") + lit(6) * F.length("word").cast("double")).alias("x1"), "y1", "font_size", "is_bold", "font_name", "page_height", F.lit(False).alias("has_eol"))
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a printed table of contents, made of the volume and chapter lines; every third lacks its printed page."""
+    page = F.col("page_index")
+    held = lines(spark, sf_dir).filter(F.col("text").startswith("第"))
+    return held.select("doc_id", "line_seq", F.when(page % 4 == 1, F.concat(F.lit("一"), F.col("text"))).otherwise(F.col("text")).alias("title"), F.when(page % 3 != 0, page + 3).alias("printed_page"), F.floor(page / 8).cast("int").alias("source_page_index"), F.col("line_seq").cast("double").alias("y"), lit(0.9).alias("confidence"))
