@@ -9,14 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import common_length, match_key
-from ..functions.text import CHAPTER, NUM, VOLUME, has_cjk, normalize, squeeze, units
+from ..functions.text import CHAPTER, NUM, VOLUME, has_cjk, lit, normalize, squeeze, units
+from .layout import same_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # What an entry begins with, and the numerals that OCR puts before it.
 ENTRY = f"^(绪论|尾声|后记|附录|第{NUM}+[卷章])"
 LEADING = "^[一二三四五六七八九十]+(?=第?[^0-9])"
-ALIKE = 0.74
+HEADERS = ("目录", "世界文字发展史")
+ALIKE, FRONT_PAGES, FIRST_LINES = 0.74, 60, 8
 
 
 def clean_title(c: Column) -> Column:
@@ -39,6 +41,68 @@ def entry_level(title: Column) -> Column:
     return F.when(squeeze(normalize(title)).rlike(CHAPTER), 2).otherwise(1)
 
 
+def _compact(c: Column) -> Column:
+    return squeeze(normalize(c))
+
+
+def is_page_number(text: Column, x0: Column, page_width: Column) -> Column:
+    return _compact(text).rlike("^[0-9]{1,4}$") & (x0 / F.greatest(page_width, lit(1)) >= lit(0.72))
+
+
+def _joined(parts: Column) -> Column:
+    """Texts of structs (x0, line_seq, text), from left to right."""
+    return clean_title(F.array_join(F.transform(F.array_sort(parts), lambda p: normalize(p["text"])), ""))
+
+
+def contents_rows(lines: DataFrame) -> DataFrame:
+    """doc_id, line_seq, title, level, printed_page, source_page_index, y, confidence of every page's rows.
+
+    ``lines``: OCR lines (doc_id, page_index, line_seq, text, x0..y1, confidence) with their ``page_width``. A page number at
+    the right is joined to what stands to its left in its row; a volume's heading needs no number.
+    """
+    number = is_page_number(F.col("text"), F.col("x0"), F.col("page_width"))
+    known = lines.withColumn("number", number).filter(F.col("number") | ~_compact(F.col("text")).isin(*HEADERS))
+    page, height = ["doc_id", "page_index"], lambda r: F.col(f"{r}.y1") - F.col(f"{r}.y0")
+    row = F.struct("line_seq", "text", "x0", "y0", "x1", "y1", "confidence")
+    right = known.filter("number").select(*page, row.alias("n"))
+    left = known.filter("not number").select(*page, row.alias("t"))
+    apart = F.abs((F.col("n.y0") + F.col("n.y1")) / 2 - (F.col("t.y0") + F.col("t.y1")) / 2)
+    beside = (F.col("t.x1") < F.col("n.x0") - 4) & (apart <= F.greatest(lit(8), F.least(height("n"), height("t")) * lit(0.9)))
+    held = F.collect_list(F.struct(F.col("t.x0"), F.col("t.line_seq"), F.col("t.text")))
+    own = F.when(F.col("n.confidence").isNotNull(), 1).otherwise(0)
+    sure = F.coalesce(F.try_divide(F.coalesce(F.col("n.confidence"), lit(0)) + F.coalesce("total", lit(0)), (own + F.col("told")).cast("double")), lit(0.75))
+    numbered = (
+        right.join(left, page).filter(beside).groupBy(*page, "n").agg(held.alias("parts"), F.sum("t.confidence").alias("total"), F.count("t.confidence").alias("told"))
+        .select("doc_id", "n.line_seq", _joined(F.col("parts")).alias("title"), _compact(F.col("n.text")).cast("int").alias("printed_page"), "page_index", F.col("n.y0").alias("y"), sure.alias("confidence"))
+    )
+    centre = (F.col("x0") + F.col("x1")) / 2 / F.greatest(F.col("page_width"), lit(1))
+    middle = known.filter(~F.col("number") & centre.between(lit(0.18), lit(0.82))).select(*page, "line_seq", "text", "x0", "y0", "x1", "y1", "confidence")
+    rows = same_rows(middle).groupBy(*page, "row_id").agg(F.min("line_seq").alias("line_seq"), _joined(F.collect_list(F.struct("x0", "line_seq", "text"))).alias("title"), F.min("y0").alias("y"), F.coalesce(F.avg("confidence"), lit(0.75)).alias("confidence"))
+    volumes = rows.filter(_compact(F.col("title")).rlike(VOLUME)).select("doc_id", "line_seq", "title", F.lit(None).cast("int").alias("printed_page"), "page_index", "y", "confidence")
+    both = numbered.filter("title <> ''").unionByName(volumes)
+    level = F.when(F.col("printed_page").isNull(), 1).otherwise(entry_level(F.col("title")))
+    return both.select("doc_id", "line_seq", "title", level.alias("level"), "printed_page", F.col("page_index").alias("source_page_index"), "y", "confidence")
+
+
+def contents_extent(pages: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """doc_id, start_page, content_end, scan_end of documents whose first pages hold a table of contents.
+
+    It starts at the first page titled so. It ends before a later list of figures, else before the first page without rows
+    after one with rows, else with the pages. content_end is null where no page has rows.
+    """
+    first = lines.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("line_seq"))).filter(F.col("nth") <= FIRST_LINES)
+    titles = first.groupBy("doc_id", "page_index").agg(F.bool_or(_compact(F.col("text")) == "目录").alias("main"), F.bool_or(_compact(F.col("text")) == "图表目录").alias("figures"))
+    filled = rows.select("doc_id", F.col("source_page_index").alias("page_index")).distinct().withColumn("filled", F.lit(True))
+    flags = pages.select("doc_id", "page_index").filter(F.col("page_index") < FRONT_PAGES).join(titles, ["doc_id", "page_index"], "left").join(filled, ["doc_id", "page_index"], "left").na.fill(False)
+    doc, at = Window.partitionBy("doc_id"), F.col("page_index")
+    least = lambda cond: F.min(F.when(cond, at)).over(doc)
+    seen = flags.withColumn("start", least(F.col("main"))).withColumn("figures_at", least(F.col("figures") & (at > F.col("start")))).withColumn("from", least(F.col("filled") & (at >= F.col("start")))).withColumn("gap", least(~F.col("filled") & (at > F.col("from"))))
+    told = seen.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("start", "figures_at", "from", "gap")], F.max(at).alias("last")).filter("start is not null")
+    by_figures = F.col("figures_at").isNotNull() & (F.col("gap").isNull() | (F.col("figures_at") < F.col("gap")))
+    end = F.when(by_figures, F.col("figures_at") - 1).when(F.col("from").isNotNull(), F.coalesce(F.col("gap") - 1, "last"))
+    return told.select("doc_id", F.col("start").alias("start_page"), end.alias("content_end"), F.when(by_figures, F.col("figures_at")).otherwise(end).alias("scan_end"))
+
+
 def structural_entries(entries: DataFrame) -> DataFrame:
     """doc_id, entry_seq, title, level, printed_page, source_page_index, y, confidence.
 

@@ -115,6 +115,25 @@ def structural_entries(spark, sf_dir):
     return P.structural_entries(S.entries(spark, sf_dir))
 
 
+def toc_row_join(spark, sf_dir):
+    rows = P.contents_rows(S.contents_pages(spark, sf_dir)[1])
+    return rows.select("doc_id", "title", "level", "printed_page", "source_page_index", "y", F.round("confidence", 9).alias("confidence"))
+
+
+def toc_extent(spark, sf_dir):
+    pages, lines = S.contents_pages(spark, sf_dir)
+    return P.contents_extent(pages, lines, P.contents_rows(lines))
+
+
+def cover_node(spark, sf_dir):
+    """Outlines put 30 pages on, with front matter before them."""
+    nodes = O.outline(_judged(spark, sf_dir)).withColumn("page_index", F.col("page_index") + 30)
+    count = nodes.groupBy("doc_id").agg((F.max("page_index") + 1).alias("page_count"))
+    front = count.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("node_seq"), F.lit(t).alias("title")) for i, t in ((-3, "目录"), (-2, "序言"))])).alias("f")).select("doc_id", "f.*")
+    front = front.select("*", F.lit(1).alias("level"), F.lit(2).alias("page_index"), T.lit(0.9).alias("confidence"), F.lit("rule").alias("source"))
+    return O.with_cover(front.unionByName(nodes), count)
+
+
 def title_similarity(spark, sf_dir):
     titled = S.lines(spark, sf_dir).withColumn("following", F.lead("text").over(Window.partitionBy("doc_id").orderBy("line_seq")))
     return titled.select("doc_id", "line_seq", M.title_similarity(F.col("text"), F.coalesce("following", F.lit(""))).alias("similarity"))
@@ -140,6 +159,6 @@ QUERIES = {
     for f in (
         normalize_titles, position_pattern_semantic, heading_fragments, body_font_profile, scored_candidates, rule_stats, candidate_cap, font_bucket_levels, accept_reject,
         outline_tree, rejected_nodes, outline_text, classify_documents, ocr_page_routing, ocr_line_coercion, ocr_body_height, ocr_candidates, ocr_accept,
-        items_to_lines, same_row_clusters, structural_entries, title_similarity, dedupe_nodes, outline_eval,
+        items_to_lines, same_row_clusters, structural_entries, toc_row_join, toc_extent, cover_node, title_similarity, dedupe_nodes, outline_eval,
     )
 }

@@ -172,6 +172,12 @@ capped as (select *, regexp_matches({_squeeze("text")}, '{VOLUME}') as volume, c
 candidates as (select *, (case when volume then 1 when max(volume::int) over (partition by doc_id order by page_index, y0, x0, nth rows unbounded preceding) = 1 and regexp_matches({_squeeze("text")}, '{CHAPTER}') then greatest(hint, 2) else hint end)::int as level_hint from capped)
 """
 
+_TOC = f"""{_LINES}, heads as (select doc_id, page_index, text, row_number() over (partition by doc_id order by line_seq) - 1 as k from lines where text like '第%'),
+toc as (select doc_id, (k // 12)::int as source_page_index, {_norm("text")} as title, 100{D} + 30{D} * (k % 12) as y, page_index % 3 <> 0 as numbered, page_index + 3 as printed from heads),
+toc_rows as (
+    select doc_id, title, case when regexp_matches(title, '{CHAPTER}') then 2 else 1 end as level, printed::int as printed_page, source_page_index, y + 3{D} as y, 0.85{D} as confidence from toc where numbered
+    union all select doc_id, title, 1, null, source_page_index, y, 0.9{D} from toc where regexp_matches({_squeeze("title")}, '{VOLUME}'))"""
+
 _SCORES = "style_score, position_score, pattern_score, semantic_score, total_score"
 
 ORACLE = {
@@ -203,4 +209,15 @@ ORACLE = {
         once as (select * from keyed where key <> '' qualify row_number() over (partition by doc_id, key order by source_page_index, y, printed nulls last, line_seq) = 1),
         near as (select *, first_value(printed ignore nulls) over (p rows between 1 following and unbounded following) as after, last_value(printed ignore nulls) over (p rows between unbounded preceding and 1 preceding) as before, row_number() over p - 1 as seq from once window p as (partition by doc_id order by source_page_index, y, printed nulls last, line_seq))
         select doc_id, seq::int as entry_seq, title, case when regexp_matches(title, '{CHAPTER}') then 2 else 1 end as level, coalesce(printed, case when regexp_matches(title, '{VOLUME}') and after is not null then greatest(1, after - 2) else before end)::int as printed_page, source_page_index, y, 0.9{D} as confidence from near""",
+    "toc_row_join": f"with {_TOC} select * from toc_rows",
+    "toc_extent": f"""with {_TOC}, page as (select doc_id, unnest(range(0, max(source_page_index) + 2))::int as p from toc group by doc_id),
+        flagged as (select *, (doc_id, p) in (select (doc_id, source_page_index) from toc_rows) as filled from page),
+        began as (select doc_id, min(p) filter (filled) as b from flagged group by doc_id),
+        stop as (select doc_id, any_value(b) as b, min(p) filter (not filled and p > b) - 1 as e from flagged join began using (doc_id) group by doc_id)
+        select doc_id, 0 as start_page, e as content_end, e as scan_end from stop""",
+    "cover_node": f"""with {_JUDGED}, moved as (select * replace (page_index + 30 as page_index) from outline),
+        front as (select distinct doc_id, s as node_seq, t as title, 1 as level, 2 as page_index, 0.9{D} as confidence, 'rule' as source from moved, (values (-3, '目录'), (-2, '序言')) f(s, t)),
+        long_nodes as (select doc_id, node_seq, title, level, page_index, confidence, source from front union all select doc_id, node_seq, title, level, page_index, confidence, source from moved),
+        due as (select doc_id from long_nodes group by doc_id having count(*) >= 5 and count(*) filter (regexp_matches(title, '^(绪论|第{NUM}+[卷章]|尾声|后记|附录)')) >= 3)
+        select * from long_nodes union all select doc_id, -1, '封面', 1, 0, 0.6{D}, 'rule' from due""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lit
@@ -65,3 +65,19 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = F.col("page_index")
     held = lines(spark, sf_dir).filter(F.col("text").startswith("第"))
     return held.select("doc_id", "line_seq", F.when(page % 4 == 1, F.concat(F.lit("一"), F.col("text"))).otherwise(F.col("text")).alias("title"), F.when(page % 3 != 0, page + 3).alias("printed_page"), F.floor(page / 8).cast("int").alias("source_page_index"), F.col("line_seq").cast("double").alias("y"), lit(0.9).alias("confidence"))
+
+
+def contents_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Made-up pages of contents, twelve headings each and one page of text behind: pages (doc_id, page_index), OCR lines."""
+    heads = lines(spark, sf_dir).filter(F.col("text").startswith("第")).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_seq")) - 1)
+    page, top = F.floor(F.col("k") / 12).cast("int"), lit(100) + lit(30) * (F.col("k") % 12).cast("double")
+
+    def line(df, at, seq, text, x0, x1, y0, sure):
+        return df.select("doc_id", at.cast("int").alias("page_index"), seq.cast("int").alias("line_seq"), text.alias("text"), lit(x0).alias("x0"), y0.alias("y0"), lit(x1).alias("x1"), (y0 + lit(14)).alias("y1"), lit(sure).alias("confidence"), lit(595).alias("page_width"))
+
+    docs = heads.groupBy("doc_id").agg(F.max(page).alias("last"))
+    named = line(heads, page, F.col("k") * 2 + 1, F.col("text"), 120, 300, top, 0.9)
+    numbered = line(heads.filter("page_index % 3 <> 0"), page, F.col("k") * 2 + 2, (F.col("page_index") + 3).cast("string"), 460, 480, top + lit(3), 0.8)
+    title = line(docs, F.lit(0), F.lit(0), F.lit("目 录"), 250, 330, lit(50), 0.9)
+    body = line(docs, F.col("last") + 1, F.lit(0), F.lit("body"), 72, 200, lit(72), 0.9)
+    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), F.col("last") + 1)).alias("page_index")), named.unionByName(numbered).unionByName(title).unionByName(body)

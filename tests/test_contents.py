@@ -98,3 +98,31 @@ def test_similarity_query(spark, sf_dir):
     got = {(r.doc_id, r.line_seq): r.similarity for r in entry.queries()["title_similarity"](spark, sf_dir).collect()}
     for (d, k), text in texts.items():
         assert got[d, k] == pytest.approx(plain(text, texts.get((d, k + 1), "")))
+
+OCR = "doc_id long, page_index int, line_seq int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, page_width double"
+
+
+def ocr(page, seq, text, x0, y0, sure=0.9):
+    return (1, page, seq, text, float(x0), float(y0), float(x0 + 40), float(y0 + 14), sure, 595.0)
+
+
+def extent(spark, lines, pages):
+    rows = P.contents_rows(spark.createDataFrame(lines, OCR))
+    got = P.contents_extent(spark.createDataFrame([(1, p) for p in range(pages)], "doc_id long, page_index int"), spark.createDataFrame(lines, OCR), rows).collect()
+    return [tuple(r) for r in got]
+
+
+def test_contents_rows(spark):
+    lines = [ocr(0, 0, "目录", 120, 50), ocr(0, 1, "第一章", 120, 100, None), ocr(0, 2, "总论", 180, 101), ocr(0, 3, "7", 460, 104, 0.7), ocr(0, 4, "第二卷", 120, 200), ocr(0, 5, "12", 300, 200), ocr(0, 6, "9", 460, 300)]
+    got = P.contents_rows(spark.createDataFrame(lines, OCR)).orderBy("y").collect()
+    assert [(r.title, r.level, r.printed_page, pytest.approx(r.confidence)) for r in got] == [("第一章总论", 2, 7, 0.8), ("第二卷12", 1, None, 0.9)]
+
+
+def test_contents_extent(spark):
+    row = lambda p: [ocr(p, 1, "第一章", 120, 100), ocr(p, 2, "7", 460, 100)]
+    title = [ocr(1, 0, "目 录", 250, 50)]
+    assert extent(spark, row(0) + title + row(1) + row(2) + [ocr(3, 0, "x", 9, 9)] + row(4), 6) == [(1, 1, 2, 2)]
+    assert extent(spark, title + row(1) + row(2) + [ocr(3, 0, "图表目录", 250, 50)] + row(3), 6) == [(1, 1, 2, 3)]
+    assert extent(spark, title + row(1), 2) == [(1, 1, 1, 1)]
+    assert extent(spark, title, 4) == [(1, 1, None, None)]
+    assert extent(spark, row(0), 2) == []
