@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import common_length, match_key
+from ..functions.similarity import common_length, match_key, title_similarity
 from ..functions.text import CHAPTER, NUM, VOLUME, has_cjk, lit, normalize, squeeze, units
 from .layout import same_rows
 
@@ -158,3 +158,40 @@ def dedupe_nodes(nodes: DataFrame) -> DataFrame:
 
     slots = keyed.groupBy("doc_id", "page_index").applyInPandas(run, f"{schema}, slot int")
     return slots.withColumn("node_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_index", "slot")) - 1).drop("slot")
+
+
+def page_offset(entries: DataFrame, titles: DataFrame, starts: DataFrame, pages: int = 80, anchors: int = 6) -> DataFrame:
+    """doc_id, found_page, page_offset: where a document's first headings stand, and its printed pages' distance from that.
+
+    ``entries`` as ``structural_entries`` returns them; ``titles``: doc_id, page_index, ord, title of the headings that a page
+    may have; ``starts``: doc_id, start_page. The search ends with the first page that holds a near-certain match.
+    """
+    name = _compact(F.col("title"))
+    held = entries.filter(F.col("printed_page").isNotNull() & (name.startswith("绪论") | name.rlike(VOLUME) | name.rlike(CHAPTER)))
+    first = held.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("entry_seq")) - 1).filter(F.col("nth") < anchors)
+    first = first.select("doc_id", "nth", "printed_page", F.col("title").alias("wanted"))
+    near = titles.join(starts, "doc_id").withColumn("least", F.greatest(F.lit(0), F.col("start_page"))).filter((F.col("page_index") >= F.col("least")) & (F.col("page_index") < F.col("least") + pages))
+    like = near.join(first, "doc_id").groupBy("doc_id", "page_index", "nth", "printed_page").agg(F.max(title_similarity(F.col("wanted"), F.col("title"))).alias("similarity"))
+    scored = like.filter(F.col("similarity") >= lit(0.62)).withColumn("score", F.col("similarity") - lit(0.01) * F.col("nth"))
+    sure = scored.withColumn("stop", F.min(F.when(F.col("score") >= lit(0.86), F.col("page_index"))).over(Window.partitionBy("doc_id")))
+    best = sure.filter(F.col("stop").isNull() | (F.col("page_index") <= F.col("stop"))).groupBy("doc_id").agg(F.max_by(F.struct("page_index", "printed_page"), F.struct("score", -F.col("page_index"), -F.col("nth"))).alias("b"))
+    return best.select("doc_id", F.col("b.page_index").alias("found_page"), (F.col("b.page_index") + 1 - F.col("b.printed_page")).alias("page_offset"))
+
+
+def confirmed_nodes(entries: DataFrame, offsets: DataFrame, titles: DataFrame, page_counts: DataFrame, window: int = 0) -> DataFrame:
+    """doc_id, entry_seq, title, level, page_index, confidence, source: entries at the pages that their numbers lead to.
+
+    Of the pages within ``window`` of that, the one with the likest heading counts; without any the page is held inside the
+    document. ``offsets`` as ``page_offset`` returns them, ``titles`` as it takes them, ``page_counts``: doc_id, page_count.
+    """
+    led = entries.filter("printed_page is not null").join(offsets.select("doc_id", "page_offset"), "doc_id").join(page_counts, "doc_id").withColumn("led", F.col("printed_page") + F.col("page_offset") - 1)
+    around = led.select("*", F.explode(F.sequence(F.col("led") - window, F.col("led") + window)).alias("page_index")).withColumn("inside", (F.col("page_index") >= 0) & (F.col("page_index") < F.col("page_count")))
+    found = around.join(titles.select("doc_id", "page_index", "ord", F.col("title").alias("there")), ["doc_id", "page_index"], "left")
+    similarity = F.when(F.col("inside") & F.col("there").isNotNull(), title_similarity(F.col("title"), F.coalesce("there", F.lit("")))).otherwise(lit(0))
+    # A page's first heading of the greatest similarity, if that isn't zero; the first such page of the greatest score.
+    rated = found.withColumn("similarity", similarity).withColumn("there", F.when(F.col("similarity") > 0, F.col("there")))
+    order = F.struct(F.col("inside"), F.round(F.col("similarity") - lit(0.02) * F.abs(F.col("page_index") - F.col("led")), 12), -F.col("page_index"), -F.coalesce("ord", F.lit(0)))
+    best = rated.groupBy("doc_id", "entry_seq", "title", "level", "led", "page_count").agg(F.max_by(F.struct("inside", "page_index", "similarity", "there"), order).alias("b"))
+    inside = F.greatest(F.lit(0), F.least(F.col("page_count") - 1, F.col("led")))
+    sure = F.greatest(lit(0.5), F.least(lit(0.95), lit(0.6) + lit(0.35) * F.col("b.similarity")))
+    return best.select("doc_id", "entry_seq", preferred_title(F.col("title"), F.col("b.there")).alias("title"), "level", F.when(F.col("b.inside"), F.col("b.page_index")).otherwise(inside).cast("int").alias("page_index"), sure.alias("confidence"), F.lit("rule").alias("source"))

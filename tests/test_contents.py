@@ -126,3 +126,16 @@ def test_contents_extent(spark):
     assert extent(spark, title + row(1), 2) == [(1, 1, 1, 1)]
     assert extent(spark, title, 4) == [(1, 1, None, None)]
     assert extent(spark, row(0), 2) == []
+
+
+def test_offset_and_confirmation(spark):
+    entry = "doc_id long, entry_seq int, title string, level int, printed_page int"
+    entries = spark.createDataFrame([(1, 0, "第一章总论", 2, 1), (1, 1, "第二章方法", 2, 5), (1, 2, "附录", 1, 9), (1, 3, "后记", 1, 99), (1, 4, "尾声", 1, None)], entry)
+    titles = spark.createDataFrame([(1, 2, 0, "第一章总论"), (1, 5, 0, "第一章总"), (1, 6, 0, "x"), (1, 6, 1, "第二章 方法"), (1, 10, 0, "附录一"), (1, 70, 0, "第二章方法"), (2, 3, 0, "第一章总论")], "doc_id long, page_index int, ord int, title string")
+    starts = spark.createDataFrame([(1, 3), (2, 0)], "doc_id long, start_page int")
+    offsets = P.page_offset(entries, titles, starts)
+    # Page 5 is like the first entry by .8 only, page 6 the second entry by 1 less .01.
+    assert [tuple(r) for r in offsets.collect()] == [(1, 6, 2)]
+    counts = spark.createDataFrame([(1, 20)], "doc_id long, page_count int")
+    got = P.confirmed_nodes(entries, offsets, titles, counts).orderBy("entry_seq").collect()
+    assert [(r.title, r.page_index, pytest.approx(r.confidence)) for r in got] == [("第一章总论", 2, 0.95), ("第二章方法", 6, 0.95), ("附录一", 10, 0.6 + 0.35 * 0.9), ("后记", 19, 0.6)]
