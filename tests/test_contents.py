@@ -139,3 +139,19 @@ def test_offset_and_confirmation(spark):
     counts = spark.createDataFrame([(1, 20)], "doc_id long, page_count int")
     got = P.confirmed_nodes(entries, offsets, titles, counts).orderBy("entry_seq").collect()
     assert [(r.title, r.page_index, pytest.approx(r.confidence)) for r in got] == [("第一章总论", 2, 0.95), ("第二章方法", 6, 0.95), ("附录一", 10, 0.6 + 0.35 * 0.9), ("后记", 19, 0.6)]
+
+
+def test_same_row_query(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    pages = {}
+    for r in entry.queries()["same_row_clusters"](spark, sf_dir).collect():
+        pages.setdefault((r.doc_id, r.page_index), []).append(r)
+    assert pages
+    for rows in pages.values():
+        heads = []
+        for r in sorted(rows, key=lambda r: ((r.y0 + r.y1) / 2, r.x0, r.line_seq)):
+            fit = [k for k, c in enumerate(heads) if abs(c - (r.y0 + r.y1) / 2) <= max(8.0, r.y1 - r.y0)]
+            if not fit:
+                heads.append((r.y0 + r.y1) / 2)
+            assert r.row_id == (fit[0] if fit else len(heads) - 1)
