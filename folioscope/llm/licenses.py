@@ -1,7 +1,8 @@
 """Operator 10, license scans: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line, its tokens the different words in it. A template is found in a block if the block holds at least
-``threshold`` of the template's tokens. Tokens stand in one global order, rarest first by the number of blocks of the whole
+A block is a line with the words that follow it, up to a line without words and at most as many as the longest template has,
+so a notice may run over line ends; its tokens are the different words in it. A template is found in a block if the block
+holds at least ``threshold`` of the template's tokens. Tokens stand in one global order, rarest first by the number of blocks of the whole
 corpus that hold them; only tokens of templates can count towards an overlap, so frequencies are kept for those alone.
 With an overlap of o needed, one of a template's k - o + 1 rarest tokens must be among the block's n - o + 1 rarest (prefix
 filter); the block must have o tokens (length filter); and what follows the shared token in both must suffice (positional
@@ -39,6 +40,8 @@ TEMPLATES = (
 )
 #: What parts words.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts paragraphs: line ends with no word between them.
+GAP = r"\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n"
 #: The one character beyond ASCII that lower-cases to a letter of ASCII, and a letter that stays apart (fixed values).
 KELVIN, OTHER = "K", "ĸ"
 
@@ -55,15 +58,27 @@ def _places(words: str, phrase: str) -> Column:
     return F.when(F.size(words) >= len(parts), F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), at)).otherwise(F.array().cast("array<int>"))
 
 
+def _blocks(lines: Column, tokens: Column, reach: int) -> Column:
+    """For each line of a paragraph, its tokens and those of the ``reach`` words after it; the lines after it have a word each."""
+
+    def block(line, i):
+        after = F.flatten(F.transform(F.slice(lines, i + 2, reach), lambda x: F.slice(x, 1, reach)))
+        return F.array_intersect(F.concat(line, F.slice(after, 1, reach)), tokens)
+
+    return F.transform(lines, block)
+
+
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, n_words, an array of places for each phrase, blocks (the tokens of templates in each line): one pass over the texts."""
+    """row, doc_id, n_words, an array of places for each phrase, blocks (the tokens of templates in each): one pass over the texts."""
     tokens = F.array(*(F.lit(t) for t in sorted({t for text, _ in templates for t in text.split()})))
     low = id_text(docs, id_col, text_col).select("doc_id", F.lower(F.replace(F.coalesce("text", F.lit("")), F.lit(KELVIN), F.lit(OTHER))).alias("low"))
-    parted = low.select("doc_id", "low", F.transform(F.split("low", "\n"), lambda line: F.array_remove(F.split(line, PARTS), "")).alias("lines"))
+    split = lambda para: F.transform(F.split(para, "\n"), lambda line: F.array_remove(F.split(line, PARTS), ""))
+    parted = low.select("doc_id", "low", F.transform(F.split("low", GAP), split).alias("paras"))
     some = "|".join(PARTS.join(p.split()) for p, _ in phrases)
-    words = F.when(F.col("low").rlike(some), F.flatten("lines")).otherwise(F.array().cast("array<string>"))
-    n = F.aggregate("lines", F.lit(0).cast("long"), lambda a, line: a + F.size(line))
-    blocks = F.filter(F.transform("lines", lambda line: F.array_intersect(line, tokens)), lambda b: F.size(b) > 0)
+    words = F.when(F.col("low").rlike(some), F.flatten(F.flatten("paras"))).otherwise(F.array().cast("array<string>"))
+    n = F.aggregate(F.flatten("paras"), F.lit(0).cast("long"), lambda a, line: a + F.size(line))
+    reach = max((len(text.split()) for text, _ in templates), default=1)
+    blocks = F.filter(F.flatten(F.transform("paras", lambda lines: _blocks(lines, tokens, reach))), lambda b: F.size(b) > 0)
     counted = parted.select(F.monotonically_increasing_id().alias("row"), "doc_id", n.alias("n_words"), words.alias("words"), blocks.alias("blocks"))
     return counted.select("row", "doc_id", "n_words", *(_places("words", p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)), "blocks")
 

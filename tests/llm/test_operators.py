@@ -302,6 +302,20 @@ def test_licenses(spark, docs):
     assert licenses.license_scan(docs).count() == len(ROWS)
 
 
+def test_wrapped_licenses(spark):
+    texts = {
+        "bsd": "x 1\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "mpl-2.0": "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy",
+        "cc-by": "This work is licensed under a Creative Commons Attribution\n4.0\nInternational License.",
+        "mit": "Released\nunder\r\n the\nMIT\nLicense",
+        "": "Redistribution and use in source and binary forms, with or without\n # \nmodification, are permitted",
+    }
+    far = "Released under\n" + "word " * 17 + "\nthe MIT License"
+    docs = spark.createDataFrame([*enumerate(texts.values()), (9, far)], "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(docs).collect()}
+    assert got == {i: (label, 1.0 if label else 0.0) for i, label in enumerate(texts)} | {9: ("", 0.0)}
+
+
 def test_vocabulary_size_is_checked(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(vocab, "MAX_BYTES", 3)
     path = tmp_path / "v"
