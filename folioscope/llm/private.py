@@ -37,6 +37,7 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_DIGITS = re.compile(r"[0-9]+")
 _CANDIDATE = re.compile(r"[A-Za-z0-9@+(][A-Za-z0-9@._%+()/-]{5,63}")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -94,8 +95,16 @@ def _hash(*parts: str) -> int:
 
 
 def shape(token: str) -> str:
-    """The token's signs, each run once: letters a, digits 9, others themselves. Tokens of one shape class compete for a pattern."""
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "9", re.sub(r"[A-Za-z]", "a", token)))
+    """The token's shape class, which says what kind it could be: with an @, four short runs of digits, digits of a card's or a phone's number, fewer, or letters as well. Tokens of one class compete for a pattern."""
+    if "@" in token:
+        return "@"
+    if any(c.isalpha() for c in token):
+        return "a9"
+    runs = _DIGITS.findall(token)
+    if len(runs) == 4 and token.count(".") == 3 and "." not in (token[0], token[-1]) and max(map(len, runs)) <= 3 and "+" not in token:
+        return "9.9.9.9"
+    n = sum(map(len, runs))
+    return "+9" if "+" in token or 7 <= n < 14 else "9-9" if n >= 14 else "9"
 
 
 def _words_before(text: str, at: int) -> list[str]:
@@ -118,13 +127,13 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     for a, b, k in spans:
         token, before = text[a:b], _words_before(text, a)
         after = _WORD.search(text, b, min(len(text), b + 40))
-        kind = "@" if "@" in token else "9"
+        like = shape(token)
         right = after[0].lower() if after else ""
         patterns = []
         if len(before) == 2:
-            patterns.append(_hash("two", kind, *before))
+            patterns.append(_hash("two", like, *before))
         if before:
-            patterns.append(_hash("around", kind, before[-1], right))
+            patterns.append(_hash("around", like, before[-1], right))
         out.append((a, b, k, _hash(token), patterns))
     return out
 

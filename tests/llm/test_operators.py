@@ -235,6 +235,19 @@ def test_private_bootstrapping(spark):
     assert masked[50] == "please call number <PHONE> today" and masked[51] == rows[13][1]
 
 
+def test_private_kinds_share_a_context(spark):
+    def card(i):
+        return next(d for n in range(10) if private.luhn(d := f"41111111111{i:04}{n}"))
+
+    seeds = [t for i in range(12) for t in (card(i), f"10.1.2.{i}", f"+1 555 {200 + i} 4000", f"m{i}@example.org")]
+    bad = str(int(card(3)) + 1)
+    unseen = {100: ("0171-5551234", "phone"), 101: (bad, "card"), 102: ("10.1.2.300", "ip"), 103: ("me@local", "email"), 104: ("order123456", None)}
+    rows = [(i, f"see contact: {t} soon") for i, t in enumerate(seeds)] + [(i, f"see contact: {t} soon") for i, (t, _) in unseen.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in private.digests(private.private_spans(docs)).collect()}
+    assert {i: got[i] for i in unseen} == {i: f"{kind}:13:{13 + len(t)}" if kind else "" for i, (t, kind) in unseen.items()}
+
+
 def test_warc(spark):
     pages = [(1, "http://a/\n", "<p>é</p>", 1), (2, None, "<p>é</p>", 1), (3, "u", None, 1), (4, "u", "", 1), (None, "u", "<p>é</p>", 1), (5, "u", "solo" * 9000, 1), (5, "u", "solo" * 9000, 1)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, size int")
