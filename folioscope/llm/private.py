@@ -5,9 +5,12 @@ Base spans (email, ip, card, phone) come from regular expressions, leftmost and
 The method then works as bootstrapping does. Every token with several digits or an @ is a candidate with the words around
 it. Base entities are the seeds: they induce lexical patterns (the two words before; the word before and the one after;
 each with the candidate's shape class). Candidates and patterns form a graph of distinct (pattern, instance) edges. Spark
-scores it in rounds: a pattern's confidence is the mean score of its instances for one kind, an instance's score the best
-of its trusted patterns', and seeds stay 1. After the rounds, candidates outside all base spans in the context of a
-trusted pattern (confidence of at least ``TRUST`` over at least ``SUPPORT`` seeds) are spans of the pattern's kind.
+scores it in rounds. An instance has the kind and confidence of its best trusted pattern; seeds stay 1. A pattern's
+confidence for a kind is what its instances score for it, over that, what they score for other kinds, and ``DOUBT`` for
+each instance (or the rest of its score) of which nothing is known. It is trusted with a confidence of at least ``TRUST``
+over at least ``SUPPORT`` instances: seeds in the first round, and what trusted patterns found from the second on, so that
+identifiers found in one context lead to the next. After the rounds, candidates outside all base spans in the context of a
+trusted pattern are spans of the pattern's kind.
 Instances and patterns are hashed to 64 bits; scores are sums and counts, so a pattern that a third of all candidates
 share is added up partially before it moves.
 
@@ -30,6 +33,8 @@ from .common import drop_durable, durable, id_text, ship
 
 KINDS = ("email", "ip", "card", "phone")
 TRUST, SUPPORT, ROUNDS = 0.9, 5, 3
+#: What an instance of unknown kind weighs against a pattern.
+DOUBT = 0.25
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -162,16 +167,21 @@ def trusted_patterns(found: DataFrame, trust: float, support: int, rounds: int)
     """(pattern, kind, confidence) of the patterns that the bootstrapping trusts."""
     each = found.select(F.explode("candidates").alias("c")).select("c.instance", "c.k", F.explode("c.patterns").alias("pattern"))
     edges = durable(each.groupBy("pattern", "instance").agg(F.max("k").alias("k")), "edges")
+    total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    seeds = edges.filter("k >= 0").select("pattern", F.col("k").alias("kind"), F.lit(1.0).alias("score"))
+    open_ = edges.filter("k < 0").select("pattern", "instance")
     learned = None
     for _ in range(rounds):
-        if learned is None:
-            scored = edges.filter("k >= 0").select("pattern", "k", F.lit(1.0).alias("score"), F.lit(1).alias("seed"))
-        else:  # instances that a trusted pattern holds lend their score to their other patterns
-            reached = edges.filter("k < 0").join(learned, "pattern").groupBy("instance", "kind").agg(F.max("confidence").alias("score"))
-            scored = edges.filter("k >= 0").select("pattern", "k", F.lit(1.0).alias("score"), F.lit(1).alias("seed")).unionByName(edges.filter("k < 0").select("pattern", "instance").join(reached, "instance").select("pattern", F.col("kind").alias("k"), "score", F.lit(0).alias("seed")))
-        total = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-        sums = scored.groupBy("pattern", F.col("k").alias("kind")).agg(F.sum("score").alias("s"), F.sum("seed").alias("seeds")).filter(F.col("seeds") >= support)
-        new = durable(sums.join(total, "pattern").select("pattern", "kind", (F.col("s") / F.col("n")).alias("confidence")).filter(F.col("confidence") >= trust), "patterns")
+        scored = seeds
+        if learned is not None:  # instances that a trusted pattern holds lend their score to their other patterns
+            reached = open_.join(learned, "pattern").groupBy("instance").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("other"))).alias("best"))
+            reached = reached.select("instance", (-F.col("best")["other"]).alias("kind"), F.col("best")["confidence"].alias("score"))
+            scored = seeds.unionByName(open_.join(reached, "instance").select("pattern", "kind", "score"))
+        sums = scored.groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("support"))
+        known = sums.groupBy("pattern").agg(F.sum("s").alias("known"))
+        confidence = F.col("s") / (F.col("known") + DOUBT * (F.col("n") - F.col("known")))
+        new = sums.filter(F.col("support") >= support).join(known, "pattern").join(total, "pattern").select("pattern", "kind", confidence.alias("confidence"))
+        new = durable(new.filter(F.col("confidence") >= trust), "patterns")
         drop_durable(learned)
         learned = new
     return learned

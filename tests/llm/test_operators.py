@@ -248,6 +248,20 @@ def test_private_kinds_share_a_context(spark):
     assert {i: got[i] for i in unseen} == {i: f"{kind}:13:{13 + len(t)}" if kind else "" for i, (t, kind) in unseen.items()}
 
 
+def test_private_rounds(spark):
+    bare = [f"0171-555{1000 + i}" for i in range(20)]
+    texts = [f"please call number +1 555 {100 + i} 4000 today" for i in range(80)] + [f"please call number {t} today" for t in bare]
+    texts += [f"my desk line: {t} ok" for t in bare] + ["my desk line: 0171-5559999 ok"]  # no seed stands there
+    texts += [f"lot of {i + 2000000} pieces" for i in range(40)] + [f"lot of +1 555 {700 + i} 4000 pieces" for i in range(6)]  # mostly unknown
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in private.digests(private.private_spans(docs)).collect()}
+    assert {got[i] for i in range(80, 100)} == {"phone:19:31"}
+    assert {got[i] for i in range(100, 121)} == {"phone:14:26"}
+    assert {got[i] for i in range(121, 161)} == {""}
+    first = {r.doc_id: r.spans for r in private.digests(private.private_spans(docs, rounds=1)).collect()}
+    assert first[80] == "phone:19:31" and first[100] == first[120] == ""
+
+
 def test_warc(spark):
     pages = [(1, "http://a/\n", "<p>é</p>", 1), (2, None, "<p>é</p>", 1), (3, "u", None, 1), (4, "u", "", 1), (None, "u", "<p>é</p>", 1), (5, "u", "solo" * 9000, 1), (5, "u", "solo" * 9000, 1)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, size int")
