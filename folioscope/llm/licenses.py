@@ -7,7 +7,8 @@ corpus that hold them; only tokens of templates can count towards an overlap, so
 With an overlap of o needed, one of a template's k - o + 1 rarest tokens must be among the block's n - o + 1 rarest (prefix
 filter); the block must have o tokens (length filter); and what follows the shared token in both must suffice (positional
 filter). The templates' prefixes are a fixed table of some dozens of rows, whose size is checked before it is broadcast.
-What is left is verified in full, so nothing that meets the threshold is lost.
+What is left is verified in full, so nothing that meets the threshold is lost. A template's telling words, which part it
+from other licences' wording, must all be in the block besides, whatever the containment.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII; A-Z are lower-cased. Base labels stand for
 phrases whose words follow each other. Null text is empty (no words, score 0). Null ids and repeated rows keep a row each,
@@ -38,6 +39,8 @@ TEMPLATES = (
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
     ("this work is dedicated to the public domain", "public-domain"),
 )
+#: Words that a template with them cannot do without (fixed values).
+TELLING = frozenset(("apache", "attribution", "nc", "gnu", "mit", "mozilla", "domain"))
 #: What parts words.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What parts paragraphs: line ends with no word between them.
@@ -83,8 +86,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col: str = "d
     return counted.select("row", "doc_id", "n_words", *(_places("words", p).alias(f"p{i}") for i, (p, _) in enumerate(phrases)), "blocks")
 
 
-def find_templates(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(row, block, tokens) to (row, label, containment) of every block and template that meet the threshold."""
+def find_templates(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, telling=TELLING) -> DataFrame:
+    """(row, block, tokens) to (row, label, containment) of every block and template that meet the threshold with all telling words."""
     spark = blocks.sparkSession
     seen = {r["t"]: r["n"] for r in blocks.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most one row for each token of a template
     order = {t: i for i, t in enumerate(sorted({t for text, _ in templates for t in text.split()}, key=lambda t: (seen.get(t, 0), t)))}
@@ -93,10 +96,11 @@ def find_templates(blocks: DataFrame, templates=TEMPLATES, threshold: float = TH
         ranks = sorted(order[t] for t in set(text.split()))
         need = math.ceil(threshold * len(ranks) - 1e-9)
         whole.append((number, label, ranks))
-        prefix += [(rank, place, number, label, len(ranks), need, ranks) for place, rank in enumerate(ranks[: len(ranks) - need + 1])]
+        tell = sorted(order[t] for t in set(text.split()) & set(telling))
+        prefix += [(rank, place, number, label, len(ranks), need, ranks, tell) for place, rank in enumerate(ranks[: len(ranks) - need + 1])]
     if len(prefix) > MAX_PREFIX_ROWS:
         raise ValueError("too many templates to broadcast their prefixes")
-    index = spark.createDataFrame(prefix, "rank int, t_place int, template int, label string, k int, need int, t_ranks array<int>")
+    index = spark.createDataFrame(prefix, "rank int, t_place int, template int, label string, k int, need int, t_ranks array<int>, tell array<int>")
     rank_of = F.create_map(*(x for t, i in order.items() for x in (F.lit(t), F.lit(i))))
     least = min((p[5] for p in prefix), default=1)
     ranked = blocks.filter(F.size("tokens") >= least).select("row", "block", F.array_sort(F.transform("tokens", lambda t: F.element_at(rank_of, t))).alias("ranks"))
@@ -105,7 +109,7 @@ def find_templates(blocks: DataFrame, templates=TEMPLATES, threshold: float = TH
     pairs = each.join(F.broadcast(index), "rank").filter(
         (n >= F.col("need")) & (F.col("place") <= n - F.col("need")) & (1 + F.least(n - F.col("place") - 1, F.col("k") - F.col("t_place") - 1) >= F.col("need"))
     )
-    met = pairs.withColumn("overlap", F.size(F.array_intersect("ranks", "t_ranks"))).filter(F.col("overlap") >= F.col("need"))
+    met = pairs.withColumn("overlap", F.size(F.array_intersect("ranks", "t_ranks"))).filter((F.col("overlap") >= F.col("need")) & (F.size(F.array_except("tell", "ranks")) == 0))
     return met.select("row", "label", (F.col("overlap") / F.col("k")).alias("containment"))
 
 

@@ -343,6 +343,13 @@ def test_wrapped_licenses(spark):
     assert got == {i: (label, 1.0 if label else 0.0) for i, label in enumerate(texts)} | {9: ("", 0.0)}
 
 
+def test_telling_words(spark):
+    texts = ["Licensed under CC BY 4.0.", "Released under the BSD License", "Licensed under CC BY-NC 4.0", "Released under MIT License", "Licensed under the Apache License, Version 2.0\nreleased today"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.license_scan(docs).collect()}
+    assert got == {0: "cc-by", 1: "", 2: "cc-by,cc-by-nc", 3: "mit", 4: "apache-2.0"}
+
+
 def test_vocabulary_size_is_checked(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(vocab, "MAX_BYTES", 3)
     path = tmp_path / "v"
