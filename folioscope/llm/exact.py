@@ -9,8 +9,8 @@ the shared folder beside the entries.
 Entries are written by a pass over the texts. A presence bitmap of fixed size tells which hashes occur in more than one
 row; texts of other hashes can have no equal and are not moved. A task first chains what it has itself: of equal texts,
 compared as bytes, only one carries its bytes on, so a group of copies sends at most one text from each task, however
-large it is. Owner tasks then take ranges of the key space, bucket by bucket, follow the chain of each hash and compare
-bytes; different texts with one hash are different links of the chain.
+large it is. Owner tasks then take hash partitions of the keys (the directory does not route them; buckets only lead the
+sort within a task), follow the chain of each hash and compare bytes; different texts with one hash are different links of the chain.
 
 Of equal texts the row with the most code points stays, then the one with the smallest doc_id (a null id comes last).
 Null is the empty text; texts of nothing but whitespace equal it. Rows that repeat a doc_id are rows of one document
