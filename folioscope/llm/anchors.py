@@ -35,15 +35,15 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def owned(data: bytes, length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def owned(data: bytes, length: int, gram: int = GRAM, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first, last, place, hash): windows starting at first to last are owned by the gram at place.
 
     The owner is the leftmost gram of least hash within the window. Long texts are worked through in segments; a window
     lies in one of them whole, so its owner is the same.
     """
     out = []
-    for base in range(0, max(1, len(data) - length + 1), SEGMENT):
-        part = data[base : base + SEGMENT + length - 1]
+    for base in range(0, max(1, len(data) - length + 1), segment):
+        part = data[base : base + segment + length - 1]
         if len(part) < length:
             continue
         h = gram_hashes(part, gram)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -16,12 +19,22 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("folioscope.shared.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets one of its own; on a cluster that raises."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("folioscope.shared.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("folioscope.shared.dir", base)
-    return f"{base.rstrip('/')}/folioscope-{spark.sparkContext.applicationId}"
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
+    return f"{base.rstrip('/')}/folioscope-{sc.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application wrote to the shared folder; for when no result of an operator is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -70,6 +83,32 @@ def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns an operator reads, under fixed names; other columns, whatever their names, stay behind."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """The columns an operator reads, under fixed names; other columns, whatever their names, stay behind. A row number comes along where one is named."""
+    row = [F.col(f"`{row_col}`").cast("long").alias("row")] if row_col else []
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *row)
+
+
+#: Keys with more than a PARTS-th of the rows are joined by broadcast: there can't be PARTS of them.
+PARTS = 1024
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, held: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has one row a key and in ``held`` how many of left's ``total`` rows have it.
+
+    A key with more than total / PARTS rows would gather them in one task. Since the rows add up to ``total``, fewer than
+    PARTS keys can, so these are broadcast whatever the input's size, and the others are shuffled. ``left`` is read twice.
+    A null key joins nothing.
+    """
+    heavy = F.broadcast(right.filter(F.col(held) > total / PARTS))
+    light = right.filter(F.col(held) <= total / PARTS)
+    few = left.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return left.join(heavy, key).unionByName(few.join(light, key))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as a written table with a row number, and the number's name, which no other column has."""
+    name = "row"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return durable(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name

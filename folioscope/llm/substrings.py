@@ -1,14 +1,18 @@
 """Operator 9, repeated strings: bytes that lie in a ``length``-byte string which also starts anywhere else.
 
 Equal windows of ``length`` bytes are owned by equal grams at the same place in them (``anchors``). Grams that occur once
-own no repeated window; the strings around the others meet by the gram's hash, aligned at it, and a run-length index of
-each such group (``runindex``) streams how far every row matches another. Each window is judged in one group only.
-
-Documents enter the index once for each different text: a text that occurs twice or more is repeated wherever it has
-``length`` bytes. A task carries equal strings of one gram once, so copies of a passage are collapsed before they move.
-Of a gram with more than ``hot`` occurrences the windows are dealt out by their place relative to it and by the bytes they
-all share: in groups of ``GRID`` starts, or beyond GRID * hot each by itself, where a group's strings are equal. No group so
-grows with the corpus, and no window is left out.
+own no repeated window; the strings around the others meet by the gram's hash, aligned at it. A task joins the groups it
+is dealt, ``BATCH`` strings or one group at a time, into a run-length index (``runindex``), streams the matching statistics
+of every string against it, and marks the starts that match ``length`` bytes. Each window is judged in one group only.
+
+Texts, and strings around a gram, enter the index once for each different one, and twice where they occur twice or more,
+so what is repeated whole is found as any other match. A task of the pass over the texts sends a string once for every
+``HELD`` bytes that it holds, with the number of its occurrences; the occurrences stay behind in a written table as
+(string, row, start), and what the index marked in a string is joined to them there. So neither copies nor a passage that
+a third of the documents share travel in numbers to one task: joins go through ``common.join_unique``.
+Of a gram with more than ``hot`` occurrences in different texts the windows are dealt out by their place relative to it
+and by the bytes they all share: in groups of ``GRID`` starts, or beyond GRID * hot each by itself, where a group's
+strings are equal. So a group has at most GRID * hot different strings, and no window is left out.
 
 Bytes are UTF-8, null is the empty text, and matches never cross documents. Null ids and repeated rows keep a row each, and
 a repeated row is another document. An empty table gives an empty table. Other columns are ignored.
@@ -24,18 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import GRAM, owned
-from .common import drop_durable, durable, id_text, ship, task_count
-from .runindex import matching_columns
+from .anchors import GRAM, SEGMENT, owned
+from .common import drop_durable, durable, id_text, join_unique, ship, task_count
+from .runindex import PAD, matching_columns
 
-LENGTH, HOT, GRID, BATCH = 400, 50_000, 16, 4096
+LENGTH, HOT, GRID, BATCH, HELD = 400, 16_384, 16, 4096, 24 << 20
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-def _anchored(length: int):
+def _anchored(length: int, segment: int):
     names = ["doc_id", "sha", "n_bytes", "grams", "times"]
 
     def run(batches):
@@ -47,7 +51,7 @@ def _anchored(length: int):
                     data = (t.as_py() or "").encode()
                     sha.append(hashlib.sha256(data).digest())
                     size.append(len(data))
-                    different, n = np.unique(owned(data, length)[3], return_counts=True)  # a text says once which grams it has
+                    different, n = np.unique(owned(data, length, segment=segment)[3], return_counts=True)  # a text says once which grams it has
                     grams.append(different)
                     times.append(n)
                     cuts.append(cuts[-1] + len(grams[-1]))
@@ -57,24 +61,31 @@ def _anchored(length: int):
     return run
 
 
-def _strings(length: int, hot: int):
-    """(row, many, text, grams with their counts) to (key, off, n, many, bytes, rows, starts)."""
-    names = ["key", "off", "n", "many", "bytes", "rows", "starts"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+#: Occurrences have row and start; strings have the rest: key of the group, place of the first start before the gram, number of starts, occurrences, whether any lies in a text that occurs twice.
+STRINGS = "sid binary, row long, start long, key long, off int, n int, times long, many boolean, bytes binary"
+
 
-    def batch_of(held: dict) -> pa.RecordBatch:
-        rows = [(key, off, n, many or len(members) > 1, data, [r for r, _ in members], [s for _, s in members]) for (key, off, n, data), (many, members) in held.items()]
-        cols = zip(*rows, strict=True) if rows else [()] * len(names)
-        return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+def _strings(length: int, hot: int, segment: int):
+    """(row, many, text, grams with their counts) to STRINGS."""
+    names = [x.split()[0] for x in STRINGS.split(", ")]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+
+    def batches_of(held: dict, seen: list):
+        rows = [(v[0], None, None, key, off, n, v[1], v[2], data) for (key, off, n, data), v in held.items()]
+        for part, blank in ((rows, ()), ([(*x, *[None] * 6) for x in seen], ())):
+            for lo in range(0, len(part), 8192):
+                cols = zip(*part[lo : lo + 8192], strict=True)
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     def run(batches):
         held: dict = {}
+        seen: list = []
         much = 0
         for b in batches:
             for row, many, text, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 data = text.as_py().encode()
                 counts = {g["h"]: g["n"] for g in grams.as_py()}
-                *where, hashes = owned(data, length)
+                *where, hashes = owned(data, length, segment=segment)
                 for first, last, place, h in zip(*(x.tolist() for x in (*where, _signed(hashes))), strict=True):
                     n = counts.get(h)
                     if n is None:
@@ -91,15 +102,18 @@ def _strings(length: int, hot: int):
                         name = (key, place - first, end - first + 1, data[first : end + length])
                         entry = held.get(name)
                         if entry is None:
-                            held[name] = entry = [False, []]
-                            much += len(name[3])
-                        entry[0] |= many
-                        entry[1].append((row, first))
+                            sid = xxhash.xxh3_128_digest(b"%d %d %d " % name[:3] + name[3])
+                            held[name] = entry = [sid, 0, False]
+                            much += len(name[3]) + 200
+                        entry[1] += 1
+                        entry[2] |= many
+                        seen.append((entry[0], row, first))
+                        much += 100
                         first = end + 1
-                if much > 24 << 20:
-                    yield batch_of(held)
-                    held, much = {}, 0
-        yield batch_of(held)
+                if much > HELD:
+                    yield from batches_of(held, seen)
+                    held, seen, much = {}, [], 0
+        yield from batches_of(held, seen)
 
     return run
 
@@ -113,51 +127,52 @@ def _spans(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(step == -1)[1] - 1
 
 
-def _judge(entries: list[tuple], length: int):
-    """entries: (group, off, n, many, bytes, rows, starts), by group. Yields (row, start, end) of bytes to mark."""
+def _judge(entries: list[tuple], length: int) -> list[tuple]:
+    """entries: (key, sid, off, n, times, many, bytes), by key. (sid, times, [(first, last) starts that are repeated])."""
     merged: dict = {}
-    for group, off, n, many, data, rows, starts in entries:
-        name = (group, off, n, data)
+    for key, sid, off, n, times, many, data in entries:
+        name = (key, off, n, data)
         if name in merged:
-            merged[name][0] = True
-            merged[name][1].append((rows, starts))
+            merged[name][1] += times
+            merged[name][2] = True
         else:
-            merged[name] = [many, [(rows, starts)]]
+            merged[name] = [sid, times, many or times > 1]
     size: dict = {}
-    for group, *_ in merged:
-        size[group] = size.get(group, 0) + 1
-    out = []
-
-    def mark(members, first: int, last: int):
-        for rows, starts in members:
-            out.extend((r, s + first, s + last + length) for r, s in zip(rows, starts, strict=True))
-
-    alone = [(name, v) for name, v in merged.items() if size[name[0]] > 1]
-    for (_, _, n, _), (many, members) in ((name, v) for name, v in merged.items() if v[0]):
-        mark(members, 0, n - 1)
-    if alone:
-        back = max(name[1] for name, _ in alone)
-        columns = max(back - name[1] + name[2] for name, _ in alone)
-        rows = np.zeros((len(alone), columns + length - 1), np.uint8)
-        valid = np.zeros((len(alone), columns), bool)
-        number, group = {}, np.empty(len(alone), np.int64)
-        for i, ((g, off, n, data), _) in enumerate(alone):
-            at = back - off
-            rows[i, at : at + len(data)] = np.frombuffer(data, np.uint8)
-            valid[i, at : at + n] = True
-            group[i] = number.setdefault(g, len(number))
-        found = matching_columns(rows, group, length, columns, valid)
-        for i, first, last in zip(*(x.tolist() for x in _spans(found)), strict=True):
-            (_, off, _, _), (many, members) = alone[i]
-            if not many:
-                mark(members, first - (back - off), last - (back - off))
-    return out
-
-
-def _marked(length: int):
+    for (key, *_), (_, _, twice) in merged.items():
+        size[key] = size.get(key, 0) + 1 + twice
+    members = [(name, v) for name, v in merged.items() if size[name[0]] > 1]  # a group of one string that occurs once matches nothing
+    if not members:
+        return []
+    doubled = [x for x in members for _ in range(1 + x[1][2])]
+    back = max(name[1] for name, _ in members)
+    columns = max(back - name[1] + name[2] for name, _ in members)
+    rows = np.full((len(doubled), columns + length - 1), PAD, np.uint8)
+    valid = np.zeros((len(doubled), columns), bool)
+    number: dict = {}
+    group = np.empty(len(doubled), np.int64)
+    for i, ((key, off, n, data), _) in enumerate(doubled):
+        at = back - off
+        rows[i, at : at + len(data)] = np.frombuffer(data, np.uint8)
+        valid[i, at : at + n] = True
+        group[i] = number.setdefault(key, len(number))
+    found = matching_columns(rows, group, length, columns, valid)
+    marks: dict = {}
+    for i, first, last in zip(*(x.tolist() for x in _spans(found)), strict=True):
+        (_, off, _, _), (sid, times, _) = doubled[i]
+        if i == 0 or doubled[i - 1] is not doubled[i]:
+            marks.setdefault(sid, (times, []))[1].append((first - (back - off), last - (back - off)))
+    return [(sid, times, spans) for sid, (times, spans) in marks.items()]
+
+
+MARKS = "sid binary, times long, marks array<struct<a:long,b:long>>"
+
+
+def _judged(length: int):
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
     def batch_of(rows: list) -> pa.RecordBatch:
-        cols = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["row", "a", "b"])
+        marks = [[{"a": a, "b": b} for a, b in spans] for *_, spans in rows]
+        return pa.record_batch([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array(marks, kind)], names=["sid", "times", "marks"])
 
     def run(batches):
         held, last = [], None
@@ -173,13 +188,16 @@ def _marked(length: int):
     return run
 
 
+CUT = "sha binary, n_removed long, n_spans long, kept_sha256 string"
+
+
 def _cut(batches):
-    """(doc_id, text, spans) to what is left; spans are (a, b) in any order."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    """(sha, text, spans) to CUT; spans are (a, b) in any order."""
+    names = [x.split()[0] for x in CUT.split(", ")]
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             b, rows = batch.slice(lo, 512), []
-            for doc, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            for sha, text, spans in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 data = (text.as_py() or "").encode()
                 kept, at, runs = [], 0, 0
                 end = -1
@@ -190,41 +208,37 @@ def _cut(batches):
                     end = at = max(end, z)
                 kept.append(data[at:])
                 left = b"".join(kept)
-                rows.append((doc, len(data), len(data) - len(left), runs, hashlib.sha256(left).hexdigest()))
+                rows.append((sha, len(data) - len(left), runs, hashlib.sha256(left).hexdigest()))
             cols = zip(*rows, strict=True)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.int64(),) * 4 + (pa.string(),), strict=True)], names=names)
-
-
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=names)
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def repeated_strings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, segment: int = SEGMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. ``segment``: bytes of a long text that are searched for anchors at once."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = docs.sparkSession
     ship(spark)
     texts = id_text(docs, id_col, text_col)
-    anchored = durable(texts.mapInArrow(_anchored(length), "doc_id long, sha binary, n_bytes long, grams array<long>, times array<int>"), "anchored")
-    copies = durable(anchored.groupBy("sha").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("one")), "copies")
-    # Each different text once: rows that repeat an id and a text are copies as well, and marked as such.
-    firsts = durable(anchored.filter(F.size("grams") > 0).join(copies, "sha").filter(F.col("doc_id").eqNullSafe(F.col("one"))).select("sha", "doc_id", (F.col("many") > 1).alias("many"), F.explode(F.arrays_zip("grams", "times")).alias("g")).select("sha", "doc_id", "many", F.col("g.grams").alias("h"), F.col("g.times").alias("times")), "grams")
-    counts = firsts.groupBy("h").agg(F.sum("times").alias("n")).filter("n > 1")
-    shared = firsts.join(counts, "h").groupBy("sha", "doc_id", "many").agg(F.collect_set(F.struct("h", "n")).alias("grams"))
-    keyed = texts.withColumn("sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    wanted = keyed.join(shared.withColumnRenamed("doc_id", "one"), "sha").filter(F.col("doc_id").eqNullSafe(F.col("one")))
-    some = durable(wanted.select(F.monotonically_increasing_id().alias("row"), "doc_id", "sha", "many", "text", "grams"), "sharing")
-    drop_durable(firsts)
-    strings = some.select("row", "many", "text", "grams").mapInArrow(_strings(length, hot), "key long, off int, n int, many boolean, bytes binary, rows array<long>, starts array<long>")
-    marks = durable(strings.repartition(task_count(spark), "key").sortWithinPartitions("key").mapInArrow(_marked(length), "row long, a long, b long"), "marks")
-    spans = marks.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    cut = some.filter(~F.col("many")).select("row", "doc_id", "sha", "text").join(spans, "row")
-    parted = durable(cut.select("doc_id", "text", "spans").mapInArrow(_cut, RESULT), "parted")
-    touched = cut.select("sha").distinct()
-    of_all = anchored.select("doc_id", "sha", "n_bytes").join(copies.select("sha", "many"), "sha")
-    whole = (F.col("many") > 1) & (F.col("n_bytes") >= length)
-    rest = of_all.join(touched, "sha", "left_anti").select(
-        "doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.lit(0).cast("long")).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.lower(F.hex("sha"))).alias("kept_sha256"),
+    anchored = durable(texts.mapInArrow(_anchored(length, segment), "doc_id long, sha binary, n_bytes long, grams array<long>, times array<int>"), "anchored")
+    # Each different text once; copies are added up within tasks before they move.
+    different = durable(anchored.groupBy("sha").agg(F.count(F.lit(1)).alias("many"), F.first("grams").alias("grams"), F.first("times").alias("times")), "different")
+    each = different.select("sha", "many", F.explode(F.arrays_zip("grams", "times")).alias("g")).select("sha", "many", F.col("g.grams").alias("h"), F.col("g.times").alias("times"))
+    counts = durable(each.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.sum("times").alias("n"), F.sum(F.col("times") * F.col("many")).alias("all")).filter("all > 1").drop("all"), "counts")
+    n_docs, n_grams = anchored.count(), each.count()
+    grams = join_unique(each, counts, "h", "texts", n_grams).groupBy("sha", "many").agg(F.collect_list(F.struct("h", "n")).alias("grams"))
+    keyed = texts.filter(F.octet_length("text") >= length).select(F.unhex(F.sha2("text", 256)).alias("sha"), "text").dropDuplicates(["sha"])
+    some = durable(keyed.join(grams, "sha").select(F.monotonically_increasing_id().alias("row"), "sha", "many", "text", "grams"), "sharing")
+    drop_durable(counts)
+    strings = durable(some.select("row", F.col("many") > 1, "text", "grams").mapInArrow(_strings(length, hot, segment), STRINGS), "strings")
+    dealt = strings.filter("key is not null").select("key", "sid", "off", "n", "times", "many", "bytes").repartition(task_count(spark), "key").sortWithinPartitions("key")
+    marks = durable(dealt.mapInArrow(_judged(length), MARKS), "marks")
+    occurrences = strings.filter("row is not null").select("sid", "row", "start")
+    spans = join_unique(occurrences, marks, "sid", "times", occurrences.count()).select("row", F.transform("marks", lambda m: F.struct((F.col("start") + m["a"]).alias("a"), (F.col("start") + m["b"] + length).alias("b"))).alias("spans"))
+    spans = spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    cut = durable(some.select("row", "sha", "text").join(spans, "row").select("sha", "text", "spans").mapInArrow(_cut, CUT), "cut")
+    drop_durable(strings, marks, some)
+    whole = different.select("sha", "many").join(cut, "sha", "left").select(
+        "sha", "many", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256")
     )
-    return parted.unionByName(rest)
+    return join_unique(anchored.select("doc_id", "sha", "n_bytes"), whole, "sha", "many", n_docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -18,7 +18,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from folioscope.llm import bpe, catalog, exact, licenses, packing, private, quality, simhash, substrings, token_counts, vocab, warc, zipstore
+from folioscope.llm import anchors, bpe, catalog, exact, licenses, packing, private, quality, runindex, simhash, substrings, token_counts, vocab, warc, zipstore
 
 rnd = random.Random(5)
 LONG = " ".join(rnd.choice(["the", "of", "alpha", "Beta,", "é", "x1"]) + str(rnd.randrange(900)) for _ in range(6000))
@@ -308,7 +308,32 @@ def naive_removal(texts, length):
         yield len(x), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("length,hot", [(400, 50_000), (400, 1), (64, 3), (70, 10**9)])
+def naive_removal_of_long(texts, length):
+    """The same by a rolling hash, for texts too long to slice at every byte; equal hashes are compared as bytes."""
+    data = [(t or "").encode() for t in texts]
+    first, twice = {}, set()
+    power = pow(257, length - 1, (1 << 61) - 1)
+    for k, x in enumerate(data):
+        h = 0
+        for i, c in enumerate(x):
+            if i >= length:
+                h -= x[i - length] * power
+            h = (h * 257 + c) % ((1 << 61) - 1)
+            if (at := i - length + 1) >= 0:
+                kk, j = first.setdefault(h, (k, at))
+                if (kk, j) != (k, at):
+                    assert data[kk][j : j + length] == x[at : i + 1]
+                    twice |= {(kk, j), (k, at)}
+    for k, x in enumerate(data):
+        gone = np.zeros(len(x) + 1, bool)
+        for i in range(len(x)):
+            if (k, i) in twice:
+                gone[i : i + length] = True
+        kept = bytes(np.frombuffer(x, np.uint8)[~gone[:-1]])
+        yield len(x), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()
+
+
+@pytest.mark.parametrize("length,hot", [(400, 16_384), (400, 1), (64, 3), (70, 10**9)])
 def test_repeated_strings(spark, docs, length, hot):
     short = [(d, t) for d, t, *_ in ROWS if len(t or "") < 5000]
     df = spark.createDataFrame(short, "doc_id long, text string").repartition(3)
@@ -316,6 +341,43 @@ def test_repeated_strings(spark, docs, length, hot):
     same(substrings.repeated_strings(df, length, hot), want)
 
 
+def test_repeated_strings_in_long_texts(spark):
+    """Whole long texts, passages across the border of a segment, NUL bytes beside strings' ends, and copies."""
+    edge = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+    texts = [LONG, LONG + " more", LONG[100:20_000] + edge, "q" * 3000 + edge + LONG[5:3000], "\0" * 900, "\0" * 450 + edge[:500], edge, edge, None, edge[:399]]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    want = [(d, *x) for d, x in enumerate(naive_removal_of_long(texts, 400))]
+    for segment in (1000, 4096, substrings.SEGMENT):
+        same(substrings.repeated_strings(df, segment=segment), want)
+
+
+def test_owners_do_not_depend_on_segments():
+    data = "".join(rnd.choice("abc ") for _ in range(9000)).encode()
+    spread = lambda segment: [(s, p) for f, z, p, _ in zip(*anchors.owned(data, 400, segment=segment), strict=True) for s in range(f, z + 1)]
+    assert spread(500) == spread(1 << 20) and len(spread(500)) == len(data) - 399
+
+
+def test_run_index():
+    """Matching statistics from the runs alone, against comparing rows; repetitive rows take few runs."""
+    base = [rnd.choice(b"ab") for _ in range(60)]
+    rows = np.array([[c if rnd.random() > 0.02 else rnd.choice(b"ab") for c in base] for _ in range(40)], np.uint8)
+    group = np.array([0] * 25 + [1] * 15)
+    index = runindex.RunIndex(rows, group, 12, 49)
+    seen = 0
+    for column, got in index.stream():
+        for i in range(40):
+            longest = 0
+            for j in range(40):
+                if j != i and group[i] == group[j]:
+                    n = 0
+                    while n < 12 and rows[i, column + n] == rows[j, column + n]:
+                        n += 1
+                    longest = max(longest, n)
+            assert got[i] == longest
+        seen += 1
+    assert seen == 49 and index.run_count < 40 * 48 / 3
+
+
 def test_licenses(spark, docs):
     rows = [r for r in ROWS if r[0] is not None][: len(TEXTS)]
     con = duckdb.connect()
