@@ -106,9 +106,19 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, held: str, total: i
     return left.join(heavy, key).unionByName(few.join(light, key))
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` as a written table with a row number, and the number's name, which no other column has."""
-    name = "row"
-    while name.lower() in (c.lower() for c in docs.columns):
+def spare(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that none of the columns has, whatever their case."""
+    while name.lower() in (c.lower() for c in columns):
         name = f"_{name}"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as a written table with a number for each row, and the number's column, which is new whatever columns there are."""
+    name = spare(docs.columns, "row")
     return durable(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def only_rows(docs: DataFrame, name: str, kept: DataFrame) -> DataFrame:
+    """The rows of a ``numbered`` table whose numbers are in kept.row, without the number."""
+    return docs.join(kept.select(F.col("row").alias(name)), name, "left_semi").drop(name)

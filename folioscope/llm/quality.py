@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, drop_durable, durable, id_text, ship
+from .common import WHITE, durable, id_text, numbered, only_rows, ship
 
 SAMPLE = 20_000
 MIN_PRECISION, MIN_COVER, MAX_RULES, MAX_CONDITIONS = 0.95, 0.002, 12, 4
@@ -80,10 +80,10 @@ _UPPER = [bytes([b]) for b in range(65, 91)]
 
 
 def _counted(batches):
-    names = ["doc_id", *COUNTS]
     for b in batches:
         rows = list(zip(*map(statistics, (t.as_py() for t in b.column(1))), strict=True)) or [()] * len(COUNTS)
-        yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in rows)], names=names)
+        others = [c for c in b.schema.names if c != "text"]
+        yield pa.record_batch([*(b.column(c) for c in others), *(pa.array(c, pa.int64()) for c in rows)], names=[*others, *COUNTS])
 
 
 def rates(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -170,10 +170,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and COUNTS."""
+def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row where ``row_col`` names one, and COUNTS."""
     ship(docs.sparkSession)
-    return id_text(docs, id_col, text_col).mapInArrow(_counted, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    texts = id_text(docs, id_col, text_col, row_col)
+    return texts.mapInArrow(_counted, ", ".join(f"{c} long" for c in [*(c for c in texts.columns if c != "text"), *COUNTS]))
 
 
 def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
@@ -187,14 +188,14 @@ def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]
     return learn(rates({c: rows[c].to_numpy(np.float64) for c in COUNTS}), bad) if bad.any() and not bad.all() else []
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, COUNTS, base_failed, kept."""
-    stats = durable(text_statistics(docs, id_col, text_col), "text-statistics")
+def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row where ``row_col`` names one, COUNTS, base_failed, kept."""
+    stats = durable(text_statistics(docs, id_col, text_col, row_col), "text-statistics")
     verdict = expression(fit(stats, labels, sample))
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Rows without an id have no decision of their own and go."""
-    kept = quality_rules(docs, labels).filter("kept").select(F.col("doc_id").alias("_keep"))
-    return docs.join(kept, docs["doc_id"] == kept["_keep"], "left_semi")
+    """The rows of ``docs`` that the rules keep; every row is judged by its own text, whatever id it has or shares."""
+    docs, row = numbered(docs)
+    return only_rows(docs, row, quality_rules(docs, labels, row_col=row).filter("kept"))

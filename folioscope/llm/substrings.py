@@ -241,4 +241,4 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, segm
     whole = different.select("sha", "many").join(cut, "sha", "left").select(
         "sha", "many", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept_sha256", F.lower(F.hex("sha"))).alias("kept_sha256")
     )
-    return join_unique(anchored.select("doc_id", "sha", "n_bytes"), whole, "sha", "many", n_docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return join_unique(anchored.select("doc_id", "sha", "n_bytes"), durable(whole, "whole"), "sha", "many", n_docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
