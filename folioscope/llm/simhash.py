@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_durable, durable, id_text, ship, task_count
+from .common import drop_durable, durable, id_text, join_unique, numbered, only_rows, ship, task_count
 from .components import components
 
 SEED = 42
@@ -64,7 +64,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
 def _fingerprints(batches):
     for b in batches:
         prints = np.fromiter(map(fingerprint, (t.as_py() for t in b.column(1))), np.uint64, b.num_rows)
-        yield pa.record_batch([b.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.record_batch([b.column(0), pa.array(prints.view(np.int64)), b.column(2)], names=["doc_id", "fp", "row"])
 
 
 def trie_links(values: list[int], budget: int):
@@ -172,25 +172,33 @@ def subtries(nodes: DataFrame, cap: int) -> DataFrame:
     return rows.join(full, "k1", "left").select("k1", F.explode(split).alias("k2"), "fp")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2, cap: int = 8192) -> DataFrame:
-    """doc_id, fingerprint, component_id: one row for each row of ``docs``."""
+def simhash_rows(texts: DataFrame, budget: int = 2, cap: int = 8192) -> DataFrame:
+    """(doc_id, text, row) to row, doc_id, fp, component_id, and first_row: the row of the component's first document."""
     if budget not in (0, 1, 2):
         raise ValueError("the choice of agreeing blocks holds for budgets of up to two bits")
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     ship(spark)
-    prints = durable(id_text(docs, id_col, text_col).mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
-    nodes = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    prints = durable(texts.mapInArrow(_fingerprints, "doc_id long, fp long, row long"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    nodes = durable(prints.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("rows")), "distinct-fingerprints")
     dealt = subtries(nodes.select("fp"), cap).repartition(task_count(spark), "k1", "k2").sortWithinPartitions("k1", "k2")
     links = durable(dealt.mapInArrow(_joined(budget), "u long, v long"), "links")
     stars = components(links)
     drop_durable(links)
-    labelled = nodes.join(stars, nodes.fp == stars.u, "left").select("fp", "least", F.coalesce("v", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_print = labelled.join(least, "label").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labelled = durable(nodes.join(stars, nodes.fp == stars.u, "left").select("fp", "first", "rows", F.coalesce("v", "fp").alias("label")), "labelled")
+    least = labelled.groupBy("label").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("prints"))
+    of_print = durable(join_unique(labelled, durable(least, "components"), "label", "prints", labelled.count()).select("fp", "rows", "least"), "of-prints")
+    drop_durable(nodes, stars, labelled)
+    return join_unique(prints, of_print, "fp", "rows", prints.count()).select("row", "doc_id", "fp", F.col("least.doc_id").alias("component_id"), F.col("least.row").alias("first_row"))
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 2, cap: int = 8192) -> DataFrame:
+    """doc_id, fingerprint, component_id: one row for each row of ``docs``."""
+    texts = id_text(docs, id_col, text_col).withColumn("row", F.lit(0).cast("long"))
+    return simhash_rows(texts, budget, cap).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one whose id is the group's. Rows without an id stay."""
-    keep = simhash_groups(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"]), "left_semi").unionByName(docs.filter(docs["doc_id"].isNull()))
+    """``docs`` with one row of each group of near-duplicates: that of the smallest id, null ids last; of one id's, the first."""
+    docs, row = numbered(docs)
+    return only_rows(docs, row, simhash_rows(id_text(docs, row_col=row)).filter("row = first_row"))
