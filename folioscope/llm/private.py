@@ -2,9 +2,13 @@
 
 Base spans (email, ip, card, phone) come from regular expressions, leftmost and without overlap for each kind.
 
-The method then works as bootstrapping does. Every token with several digits or an @ is a candidate with the words around
-it. Base entities are the seeds: they induce lexical patterns (the two words before; the word before and the one after;
-each with the candidate's shape class). Candidates and patterns form a graph of distinct (pattern, instance) edges. Spark
+The method then works as bootstrapping does. Every token with several digits or an @ is a candidate with what stands around
+it. Seeds are the base entities, and hexadecimal tokens of 32 digits or more for the fifth kind, secrets, which has no base
+pattern: a seed of it is a span only where a trusted pattern holds it. Seeds induce lexical patterns: the two tokens
+before, the three before, the one before and the one after, the two after; each with the candidate's shape class, and only
+if a letter or digit is among them. Context tokens are runs of letters and digits, of which the ``NEAR`` characters next
+to the candidate count, and single marks; however far off they stand, nothing else bounds a context.
+Candidates and patterns form a graph of distinct (pattern, instance) edges. Spark
 scores it in rounds. An instance has the kind and confidence of its best trusted pattern; seeds stay 1. A pattern's
 confidence for a kind is what its instances score for it, over that, what they score for other kinds, and ``DOUBT`` for
 each instance (or the rest of its score) of which nothing is known. It is trusted with a confidence of at least ``TRUST``
@@ -22,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import xxhash
@@ -29,9 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_durable, durable, id_text, ship
+from .common import drop_durable, durable, id_text, numbered, ship, spare
 
 KINDS = ("email", "ip", "card", "phone")
+#: All kinds that a span may have.
+NAMES = (*KINDS, "secret")
+SECRET, NEAR = 4, 32
 TRUST, SUPPORT, ROUNDS = 0.9, 5, 3
 #: What an instance of unknown kind weighs against a pattern.
 DOUBT = 0.25
@@ -43,8 +51,9 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_CANDIDATE = re.compile(r"[A-Za-z0-9@+(][A-Za-z0-9@._%+()/-]{5,63}")
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_CANDIDATE = re.compile(r"[A-Za-z0-9@+(][A-Za-z0-9@._%+()/-]{5,}")
+_HEX = re.compile(r"[0-9A-Fa-f]{32,}")
+_TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
 def luhn(digits: str) -> bool:
@@ -91,7 +100,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def spell(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in spans)
+    return ",".join(f"{NAMES[k]}:{a}:{b}" for a, b, k in spans)
 
 
 def _hash(*parts: str) -> int:
@@ -112,8 +121,19 @@ def shape(token: str) -> str:
     return "+9" if "+" in token or 7 <= n < 14 else "9-9" if n >= 14 else "9"
 
 
-def _words_before(text: str, at: int) -> list[str]:
-    return [w.lower() for w in _WORD.findall(text[max(0, at - 80) : at])[-2:]]
+def context(text: str, tokens: list[tuple[int, int]], starts: list[int], a: int, b: int) -> list[tuple[str, ...]]:
+    """The patterns around text[a:b] but for its shape; ``tokens`` are all of the text's."""
+    k = bisect_left(starts, a)
+    before = [text[max(x, min(y, a) - NEAR) : min(y, a)].lower() for x, y in tokens[max(0, k - 3) : k]]
+    k = bisect_left(starts, b)
+    if k and tokens[k - 1][1] > b:
+        k -= 1
+    after = [text[max(x, b) : min(y, max(x, b) + NEAR)].lower() for x, y in tokens[k : k + 2]]
+    wanted = [("2", *before[-2:])] if len(before) >= 2 else []
+    wanted += [("3", *before)] if len(before) == 3 else []
+    wanted += [("1+1", before[-1], *after[:1])] if before else []
+    wanted += [("+2", *after)] if len(after) == 2 else []
+    return [w for w in wanted if any(x[0].isalnum() for x in w[1:])]
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, list[int]]]:
@@ -127,23 +147,19 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
                 a, b, _ = next(taken)
             token = m[0].rstrip(".-/()")
             if m.start() + len(token) <= a and len(token) >= 6 and ("@" in token or len(_DIGIT.findall(token)) >= 4):
-                spans.append((m.start(), m.start() + len(token), -1))
-    out = []
+                spans.append((m.start(), m.start() + len(token), SECRET if _HEX.fullmatch(token) and not token.isdigit() else -1))
+    if not spans:
+        return []
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    starts, out = [x for x, _ in tokens], []
     for a, b, k in spans:
-        token, before = text[a:b], _words_before(text, a)
-        after = _WORD.search(text, b, min(len(text), b + 40))
+        token = text[a:b]
         like = shape(token)
-        right = after[0].lower() if after else ""
-        patterns = []
-        if len(before) == 2:
-            patterns.append(_hash("two", like, *before))
-        if before:
-            patterns.append(_hash("around", like, before[-1], right))
-        out.append((a, b, k, _hash(token), patterns))
+        out.append((a, b, k, _hash(token), [_hash(p[0], like, *p[1:]) for p in context(text, tokens, starts, a, b)]))
     return out
 
 
-FOUND = "doc_id long, text_hash long, row long, base array<struct<a:int,b:int,k:int>>, base_sha256 string, candidates array<struct<a:int,b:int,k:int,instance:long,patterns:array<long>>>"
+FOUND = "doc_id long, row long, base array<struct<a:int,b:int,k:int>>, base_sha256 string, candidates array<struct<a:int,b:int,k:int,instance:long,patterns:array<long>>>"
 _SPAN = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.int32())])
 _CAND = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])
 
@@ -151,16 +167,17 @@ _CAND = pa.struct([("a", pa.int32()), ("b", pa.int32()), ("k", pa.int32()), ("in
 def _found(batches):
     nth = TaskContext.get().partitionId() << 33
     for b in batches:
-        base, sha, cand, row = [], [], [], []
+        base, sha, cand, row = [], [], [], b.column(2).to_pylist() if b.num_columns > 2 else []
         for t in b.column(1):
             text = t.as_py() or ""
             spans = base_spans(text)
             base.append([{"a": x, "b": y, "k": k} for x, y, k in spans])
             sha.append(hashlib.sha256(spell(spans).encode()).hexdigest())
             cand.append([dict(zip(("a", "b", "k", "instance", "patterns"), c, strict=True)) for c in candidates(text, spans)])
-            row.append(nth)
-            nth += 1
-        yield pa.record_batch([b.column(0), b.column(2), pa.array(row, pa.int64()), pa.array(base, pa.list_(_SPAN)), pa.array(sha), pa.array(cand, pa.list_(_CAND))], names=["doc_id", "text_hash", "row", "base", "base_sha256", "candidates"])
+            if b.num_columns == 2:
+                row.append(nth)
+                nth += 1
+        yield pa.record_batch([b.column(0), pa.array(row, pa.int64()), pa.array(base, pa.list_(_SPAN)), pa.array(sha), pa.array(cand, pa.list_(_CAND))], names=["doc_id", "row", "base", "base_sha256", "candidates"])
 
 
 def trusted_patterns(found: DataFrame, trust: float, support: int, rounds: int) -> DataFrame:
@@ -187,25 +204,28 @@ def trusted_patterns(found: DataFrame, trust: float, support: int, rounds: int)
     return learned
 
 
-def private_spans(docs: DataFrame, trust: float = TRUST, support: int = SUPPORT, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, row, base and all: arrays of (a, b, k: a place in KINDS), and base_sha256. ``row`` tells rows of one doc_id apart."""
+def private_spans(docs: DataFrame, trust: float = TRUST, support: int = SUPPORT, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, row, base and all: arrays of (a, b, k: a place in NAMES), and base_sha256. ``row`` tells rows of one doc_id apart."""
     ship(docs.sparkSession)
-    found = durable(id_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(_found, FOUND), "found")
+    found = durable(id_text(docs, id_col, text_col, row_col).mapInArrow(_found, FOUND), "found")
     learned = trusted_patterns(found, trust, support, rounds)
-    open_ = found.select("row", F.explode(F.filter("candidates", lambda c: c["k"] < 0)).alias("c")).select("row", "c.a", "c.b", F.explode("c.patterns").alias("pattern"))
+    open_ = found.select("row", F.explode(F.filter("candidates", lambda c: (c["k"] < 0) | (c["k"] == SECRET))).alias("c")).select("row", "c.a", "c.b", F.explode("c.patterns").alias("pattern"))
     best = open_.join(learned, "pattern").groupBy("row", "a", "b").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("k"))
     more = best.groupBy("row").agg(F.collect_list(F.struct("a", "b", "k")).alias("more"))
     both = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<a:int,b:int,k:int>>"))), lambda x, y: F.when(x["a"] != y["a"], x["a"] - y["a"]).otherwise(x["k"] - y["k"]))
     return found.drop("candidates").join(more, "row", "left").withColumn("all", both).drop("more")
 
 
+def _name(k):
+    return F.get(F.array(*(F.lit(n) for n in NAMES)), k)
+
+
 def digests(spans: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans."""
+    """doc_id, counts of the base kinds, base_sha256, spans, n_spans."""
     count = lambda i: F.size(F.filter("base", lambda s: s["k"] == i)).cast("long")
     counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    name = F.array(*(F.lit(k) for k in KINDS))
-    spelt = F.array_join(F.transform("all", lambda s: F.concat(F.get(name, s["k"]), F.lit(":"), s["a"].cast("string"), F.lit(":"), s["b"].cast("string"))), ",")
-    return spans.select("doc_id", *counts, "base_sha256", spelt.alias("spans"))
+    spelt = F.array_join(F.transform("all", lambda s: F.concat(_name(s["k"]), F.lit(":"), s["a"].cast("string"), F.lit(":"), s["b"].cast("string"))), ",")
+    return spans.select("doc_id", *counts, "base_sha256", spelt.alias("spans"), F.size("all").cast("long").alias("n_spans"))
 
 
 def masked_text(text, spans):
@@ -215,7 +235,7 @@ def masked_text(text, spans):
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.when(s["b"] <= acc["at"], acc).otherwise(
             F.struct(
-                F.concat(acc["out"], F.when(s["a"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit("<"), F.upper(F.get(F.array(*(F.lit(k) for k in KINDS)), s["k"])), F.lit(">"))).otherwise(F.lit(""))).alias("out"),
+                F.concat(acc["out"], F.when(s["a"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit("<"), F.upper(_name(s["k"])), F.lit(">"))).otherwise(F.lit(""))).alias("out"),
                 s["b"].alias("at"),
             )
         ),
@@ -225,9 +245,12 @@ def masked_text(text, spans):
 
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span masked in ``text`` and ``n_chars`` counted anew where it is there; rows without spans are as they were."""
-    spans = private_spans(docs).filter(F.size("all") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.first("all").alias("_spans"))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (F.xxhash64(docs["text"]) == spans["_hash"]), "left")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), masked_text(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    columns = docs.columns
+    docs, row = numbered(docs)
+    held = spare(docs.columns, "spans")
+    spans = private_spans(docs, row_col=row).filter(F.size("all") > 0).select(F.col("row").alias(row), F.col("all").alias(held))
+    some = F.col(held).isNotNull()
+    out = docs.join(spans, row, "left").withColumn("text", F.when(some, masked_text(F.col("text"), F.col(held))).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*(f"`{c}`" for c in columns))

@@ -200,8 +200,100 @@ def test_exact(docs):
 def test_directory_doubles(spark):
     keys = [(rnd.getrandbits(64) - 2**63, 10) for _ in range(500)] + [(7, 10_000)]
     d = exact.build_directory(spark.createDataFrame(keys, "h long, bytes long"), 100, step=3)
-    held = Counter(int(np.searchsorted(d.starts(), np.uint64(h % 2**64), side="right")) - 1 for h, _ in keys)
-    assert max(held.values()) <= 11 and len(d.starts()) == len(d.buckets) and d.depth > 5
+    table = d.table(4)
+    first = np.array([f % 2**64 for *_, f, _ in table], np.uint64)
+    held = Counter(int(np.searchsorted(first, np.uint64(h % 2**64), side="right")) - 1 for h, _ in keys)
+    assert max(held.values()) <= 11 and (np.diff(first.astype(object)) > 0).all() and d.depth > 5
+    assert [o for *_, o in table] == sorted(o for *_, o in table) and {o for *_, o in table} <= set(range(4))
+    shares = Counter()
+    for h, n in keys:
+        shares[table[int(np.searchsorted(first, np.uint64(h % 2**64), side="right")) - 1][3]] += n * (h != 7)
+    assert max(shares.values()) < 5000  # the one overfull key has an owner nearly for itself
+
+
+def test_driver_rows_are_bounded(spark, monkeypatch):
+    """However small the capacity asked for, a MAX_BUCKETS-th of all bytes is the least, and no round collects over MAX_CELLS rows."""
+    monkeypatch.setattr(exact, "MAX_BUCKETS", 16)
+    monkeypatch.setattr(exact, "MAX_CELLS", 64)
+    seen = []
+    split = exact.Directory.split
+    monkeypatch.setattr(exact.Directory, "split", lambda self, sizes, step, capacity: (seen.append((len(self.open), sum(map(len, sizes.values())), capacity)), split(self, sizes, step, capacity))[1])
+    exact.build_directory(spark.createDataFrame([(rnd.getrandbits(64) - 2**63, 10) for _ in range(2000)], "h long, bytes long"), 1, step=3)
+    assert all(n_open < 16 and cells <= 64 and capacity == 20_000 // 16 for n_open, cells, capacity in seen) and len(seen) > 1
+
+
+def test_the_directory_deals(spark, docs, monkeypatch):
+    """Entries that were dealt by another directory than the owners read are refused; so the stored one is what routes."""
+    read, calls = exact.read_directory, []
+
+    def other(stored):
+        first, owner = read(stored)
+        calls.append(len(first))
+        return first, owner[::-1].copy() if len(set(owner.tolist())) > 1 else owner + 1
+
+    monkeypatch.setattr(exact, "read_directory", other)
+    exact.exact_groups(docs, capacity=1).count()  # any whole directory deals rightly, if all read the same
+    assert calls and calls[0] > 1
+    sent = iter(range(9))
+    monkeypatch.setattr(exact, "read_directory", read)
+    owned = exact._owned
+    monkeypatch.setattr(exact, "_owned", lambda places: owned(spark.sparkContext.broadcast((places.value[0][:1], places.value[1][:1] + 1 + next(sent)))))
+    with pytest.raises(Exception, match="another directory"):
+        exact.exact_groups(docs, capacity=1).count()
+
+
+def odd_rows():
+    """Repeated and null ids with good and bad, equal, near and private texts, in a table whose columns clash with ours."""
+    good = "plain words that stand once each in this line and go on for some more of them until the end"
+    bad = "x " * 40
+    rows = [(1, good), (1, bad), (None, good + " null"), (None, None), (2, ""), (2, "same"), (None, "same"), (None, "other one"), (3, "same "), (3, "sa me"), (4, "other one"), (5, LONG), (5, LONG + " more words here"), (6, "mail me@example.org now"), (6, "mail nobody now"), (None, "10.0.0.1 is it")]
+    names = ["row", "_row", "spans", "_spans", "keep", "sha"]
+    return [(d, t, len(t or ""), *[f"{n}{i}" for n in names]) for i, (d, t) in enumerate(rows)], "doc_id long, text string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+
+
+def test_keeping_goes_by_rows(spark):
+    rows, schema = odd_rows()
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    by = lambda df: sorted(((int(r[3][3:]), *r) for r in df.collect()))
+    full = {int(r[3][3:]): r for r in rows}
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    kept = by(quality.keep_good(docs, labels))
+    want = [i for i, r in full.items() if (s := naive_stats(r[1]))[0] >= 10 and 100 * s[4] <= 20 * s[0]]
+    assert [k[0] for k in kept] == want and all(tuple(k[1:]) == full[k[0]] for k in kept)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups = defaultdict(list)
+    for i, r in full.items():
+        groups[norm(r[1])].append((-len(r[1] or ""), r[0] is None, r[0] or 0, i))
+    kept = by(exact.keep_first(docs))
+    assert len(kept) == len(groups) and {(min(g)[:3]) for g in groups.values()} == {(-len(k[2] or ""), k[1] is None, k[1] or 0) for k in kept}
+    assert all(tuple(k[1:]) == full[k[0]] for k in kept)
+    prints = {i: naive_print(r[1]) for i, r in full.items()}
+    root = {f: f for f in prints.values()}
+    for _ in root:
+        for a in root:
+            for b in root:
+                if (a ^ b).bit_count() <= 2:
+                    root[a] = root[b] = min(root[a], root[b])
+    groups = defaultdict(list)
+    for i, f in prints.items():
+        groups[root[f]].append((full[i][0] is None, full[i][0] or 0))
+    kept = by(simhash.keep_one(docs))
+    assert sorted((k[1] is None, k[1] or 0) for k in kept) == sorted(min(g) for g in groups.values()) and len(groups) < len(rows)
+    masked = by(private.mask(docs))
+    assert [k[0] for k in masked] == sorted(full)
+    for k in masked:
+        spans = naive_spans(full[k[0]][1])
+        text = full[k[0]][1]
+        for a, _, b, kind in reversed(spans):
+            text = text[:a] + f"<{kind.upper()}>" + text[b:]
+        assert tuple(k[1:]) == (full[k[0]][0], text, len(text or ""), *full[k[0]][3:])
+
+
+def test_kept_rows_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], odd_rows()[1])
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for out in (quality.keep_good(docs, labels), exact.keep_first(docs), simhash.keep_one(docs), private.mask(docs)):
+        assert out.columns == docs.columns and out.count() == 0
 
 
 def naive_spans(text):
@@ -220,7 +312,7 @@ def test_private_base(docs):
     for d, t, *_ in ROWS:
         s = naive_spans(t)
         want.append((d, *(sum(x[1] == i for x in s) for i in range(4)), hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in s).encode()).hexdigest()))
-    same(private.digests(private.private_spans(docs)).drop("spans"), want)
+    same(private.digests(private.private_spans(docs)).drop("spans", "n_spans"), want)
     for _ in range(300):
         text = "".join(rnd.choice("a1.@-+ 2%") for _ in range(40))
         assert [(a, private.KINDS[k], b) for a, b, k in private.base_spans(text)] == [(a, k, b) for a, _, b, k in naive_spans(text)]
@@ -262,6 +354,70 @@ def test_private_rounds(spark):
     assert first[80] == "phone:19:31" and first[100] == first[120] == ""
 
 
+def naive_bootstrap(texts, trust, support, rounds):
+    """The pattern and instance graph by dictionaries: (text number, span) of all that the trusted patterns hold."""
+    found = [(i, c) for i, t in enumerate(texts) for c in private.candidates(t, private.base_spans(t))]
+    kind, patterns = {}, defaultdict(set)
+    for _, (_, _, k, instance, held) in found:
+        for p in held:
+            patterns[p].add(instance)
+            kind[p, instance] = max(kind.get((p, instance), -1), k)
+    learned = {}
+    for _ in range(rounds):
+        reached = {}
+        for (p, x), k in kind.items():
+            if k < 0 and p in learned:
+                new = (learned[p][1], -learned[p][0])
+                reached[x] = max(reached.get(x, new), new)
+        learned_now = {}
+        for p, held in patterns.items():
+            sums, n = Counter(), Counter()
+            for x in held:
+                k = kind[p, x]
+                score = (1.0, k) if k >= 0 else (reached[x][0], -reached[x][1]) if x in reached else None
+                if score:
+                    sums[score[1]] += score[0]
+                    n[score[1]] += 1
+            known = sum(sums.values())
+            for k in sums:
+                if n[k] >= support and (c := sums[k] / (known + private.DOUBT * (len(held) - known))) >= trust:
+                    learned_now[p] = (k, c)
+        learned = learned_now
+    out = set()
+    for i, (a, b, k, _, held) in found:
+        best = max(((learned[p][1], -learned[p][0]) for p in held if p in learned), default=None)
+        if (k < 0 or k == private.SECRET) and best:
+            out.add((i, a, b, -best[1]))
+    return out
+
+
+def test_private_graph(spark):
+    hexes = ["".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(14)]
+    texts = [f'some words token = "{h}" and more {rnd.randrange(9)}' for h in hexes] + ['the token = "Zx81-99_4412" is short', f"sum {hexes[0][::-1]} in prose"]
+    texts += [f"{rnd.choice(['call', 'fax', 'id'])} {rnd.choice(['me at', 'number', 'no:'])} {rnd.choice([f'+1 555 {rnd.randrange(100, 120)} 4000', f'0171-{rnd.randrange(5550000, 5550030)}', f'10.0.{rnd.randrange(9)}.7', str(rnd.randrange(10**5, 10**5 + 9))])} {rnd.choice(['now', 'today', ''])}" for _ in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for rounds in (1, 2, 3):
+        got = set()
+        for r in private.private_spans(docs, 0.6, 3, rounds).collect():
+            got |= {(r.doc_id, s.a, s.b, s.k) for s in r["all"] if s not in r["base"]}
+        assert got == naive_bootstrap(texts, 0.6, 3, rounds)
+    spans = {r.doc_id: (r.spans, r.n_spans) for r in private.digests(private.private_spans(docs)).collect()}
+    assert spans[0] == ("secret:20:60", 1) and spans[14] == ("secret:13:25", 1) and spans[15] == ("", 0)
+    masked = {r.doc_id: r.text for r in private.mask(docs).collect()}
+    assert masked[14] == 'the token = "<SECRET>" is short'
+
+
+def test_long_contexts():
+    """Contexts reach over any white space and take of a long token what is near; a long word costs no more than its length."""
+    far = "call number" + " " * 500 + "0171-555 1234" + "\n" * 300 + "today ok"
+    near = "call number 0171-555 1234 today ok"
+    hashes = lambda t: [c[4] for c in private.candidates(t, [])]
+    assert hashes(far) == hashes(near) and len(hashes(near)[0]) == 3
+    assert hashes("z" * 99 + ":1234567 b") == hashes("z" * 500 + ":1234567 b")
+    long_token = "a1" * 50_000
+    assert [(a, b) for a, b, *_ in private.candidates(f"x {long_token} y", [])] == [(2, 2 + len(long_token))]
+
+
 def test_warc(spark):
     pages = [(1, "http://a/\n", "<p>é</p>", 1), (2, None, "<p>é</p>", 1), (3, "u", None, 1), (4, "u", "", 1), (None, "u", "<p>é</p>", 1), (5, "u", "solo" * 9000, 1), (5, "u", "solo" * 9000, 1)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, size int")
