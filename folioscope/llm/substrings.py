@@ -10,9 +10,11 @@ so what is repeated whole is found as any other match. A task of the pass over t
 ``HELD`` bytes that it holds, with the number of its occurrences; the occurrences stay behind in a written table as
 (string, row, start), and what the index marked in a string is joined to them there. So neither copies nor a passage that
 a third of the documents share travel in numbers to one task: joins go through ``common.join_unique``.
-Of a gram with more than ``hot`` occurrences in different texts the windows are dealt out by their place relative to it
-and by the bytes they all share: in groups of ``GRID`` starts, or beyond GRID * hot each by itself, where a group's
-strings are equal. So a group has at most GRID * hot different strings, and no window is left out.
+Of a gram with more than ``hot`` occurrences in different texts the windows are dealt out by cells, ``GRID`` starts at a
+like place before it, and by the bytes that all windows of a cell share. Those shared bytes are counted first: where they
+occur once, no window of the cell is repeated and nothing moves; where they occur more than ``hot`` times too, each
+window goes by itself, and a group's strings are equal. So a group has at most ``hot`` different strings, and no repeated
+window is left out.
 
 Bytes are UTF-8, null is the empty text, and matches never cross documents. Null ids and repeated rows keep a row each, and
 a repeated row is another document. An empty table gives an empty table. Other columns are ignored.
@@ -32,7 +34,7 @@ from .anchors import GRAM, SEGMENT, owned
 from .common import drop_durable, durable, id_text, join_unique, ship, task_count
 from .runindex import PAD, matching_columns
 
-LENGTH, HOT, GRID, BATCH, HELD = 400, 16_384, 16, 4096, 24 << 20
+LENGTH, HOT, GRID, BATCH, HELD = 400, 1024, 16, 4096, 24 << 20
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -61,12 +63,55 @@ def _anchored(length: int, segment: int):
     return run
 
 
+def _cell_ranges(place: int, first: int, last: int):
+    """(cell, first, last) of the starts first to last, as far as they lie in one cell of the grid before the gram."""
+    while first <= last:
+        cell = (place - first) // GRID
+        end = min(last, place - cell * GRID)
+        yield cell, first, end
+        first = end + 1
+
+
+def _core(data: bytes, h: int, place: int, cell: int, length: int) -> int:
+    """Of what all windows of a cell share."""
+    core = data[place - cell * GRID : place - cell * GRID - GRID + 1 + length]
+    k = xxhash.xxh3_64_intdigest(core + h.to_bytes(8, "little", signed=True) + cell.to_bytes(4, "little"))
+    return k - (1 << 64) if k >> 63 else k
+
+
+def _ranges(data: bytes, length: int, segment: int):
+    *where, hashes = owned(data, length, segment=segment)
+    return zip(*(x.tolist() for x in (*where, _signed(hashes))), strict=True)
+
+
+def _cells(length: int, hot: int, segment: int):
+    """(row, many, text, grams with their counts) to (row, many, core, times): the cells before hot grams."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                b, rows = batch.slice(lo, 512), []
+                for row, many, text, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                    data, held = text.as_py().encode(), {}
+                    hots = {g["h"] for g in grams.as_py() if g["n"] > hot}
+                    for first, last, place, h in _ranges(data, length, segment):
+                        if h in hots:
+                            for cell, _, _ in _cell_ranges(place, first, last):
+                                core = _core(data, h, place, cell, length)
+                                held[core] = held.get(core, 0) + 1
+                    rows += [(row, many, core, times) for core, times in held.items()]
+                cols = zip(*rows, strict=True) if rows else ((),) * 4
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["row", "many", "core", "times"])
+
+    return run
+
+
 #: Occurrences have row and start; strings have the rest: key of the group, place of the first start before the gram, number of starts, occurrences, whether any lies in a text that occurs twice.
 STRINGS = "sid binary, row long, start long, key long, off int, n int, times long, many boolean, bytes binary"
 
 
 def _strings(length: int, hot: int, segment: int):
-    """(row, many, text, grams with their counts) to STRINGS."""
+    """(row, many, text, grams with their counts, cores with theirs) to STRINGS."""
     names = [x.split()[0] for x in STRINGS.split(", ")]
     kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
 
@@ -82,34 +127,36 @@ def _strings(length: int, hot: int, segment: int):
         seen: list = []
         much = 0
         for b in batches:
-            for row, many, text, grams in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            for row, many, text, grams, cores in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4), strict=True):
                 data = text.as_py().encode()
-                counts = {g["h"]: g["n"] for g in grams.as_py()}
-                *where, hashes = owned(data, length, segment=segment)
-                for first, last, place, h in zip(*(x.tolist() for x in (*where, _signed(hashes))), strict=True):
+                counts, repeated = ({g["h"]: g["n"] for g in x.as_py() or ()} for x in (grams, cores))
+                for first, last, place, h in _ranges(data, length, segment):
                     n = counts.get(h)
                     if n is None:
                         continue
-                    grid = length if n <= hot else GRID if n <= GRID * hot else 1
-                    while first <= last:  # starts, as far as they lie in one cell of the grid before the gram
-                        cell = (place - first) // grid
-                        end = last if grid == length else min(last, place - cell * grid)
-                        key = h
-                        if grid < length:
-                            core = data[place - cell * grid : place - cell * grid - grid + 1 + length]
-                            k = xxhash.xxh3_64_intdigest(core + h.to_bytes(8, "little", signed=True) + cell.to_bytes(4, "little"))
+                    if n <= hot:
+                        parts = [(h, first, last)]
+                    else:
+                        parts = []
+                        for cell, x, y in _cell_ranges(place, first, last):
+                            n = repeated.get(core := _core(data, h, place, cell, length))
+                            if n is not None:
+                                parts += [(core, x, y)] if n <= hot else [(core, i, i) for i in range(x, y + 1)]
+                    for key, x, y in parts:
+                        string = data[x : y + length]
+                        if key != h and x == y:
+                            k = xxhash.xxh3_64_intdigest(string, seed=place - x)
                             key = k - (1 << 64) if k >> 63 else k
-                        name = (key, place - first, end - first + 1, data[first : end + length])
+                        name = (key, place - x, y - x + 1, string)
                         entry = held.get(name)
                         if entry is None:
-                            sid = xxhash.xxh3_128_digest(b"%d %d %d " % name[:3] + name[3])
+                            sid = xxhash.xxh3_128_digest(b"%d %d %d " % name[:3] + string)
                             held[name] = entry = [sid, 0, False]
-                            much += len(name[3]) + 200
+                            much += len(string) + 200
                         entry[1] += 1
-                        entry[2] |= many
-                        seen.append((entry[0], row, first))
+                        entry[2] |= many > 1
+                        seen.append((entry[0], row, x))
                         much += 100
-                        first = end + 1
                 if much > HELD:
                     yield from batches_of(held, seen)
                     held, seen, much = {}, [], 0
@@ -230,7 +277,14 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, segm
     keyed = texts.filter(F.octet_length("text") >= length).select(F.unhex(F.sha2("text", 256)).alias("sha"), "text").dropDuplicates(["sha"])
     some = durable(keyed.join(grams, "sha").select(F.monotonically_increasing_id().alias("row"), "sha", "many", "text", "grams"), "sharing")
     drop_durable(counts)
-    strings = durable(some.select("row", F.col("many") > 1, "text", "grams").mapInArrow(_strings(length, hot, segment), STRINGS), "strings")
+    has_hot = F.exists("grams", lambda g: g["n"] > hot)
+    cells = durable(some.filter(has_hot).select("row", "many", "text", "grams").mapInArrow(_cells(length, hot, segment), "row long, many long, core long, times long"), "cells")
+    core_counts = durable(cells.groupBy("core").agg(F.count(F.lit(1)).alias("texts"), F.sum("times").alias("n"), F.sum(F.col("times") * F.col("many")).alias("all")).filter("all > 1").drop("all"), "core-counts")
+    cores = join_unique(cells, core_counts, "core", "texts", cells.count()).groupBy("row").agg(F.collect_list(F.struct(F.col("core").alias("h"), "n")).alias("cores"))
+    read = some.select("row", "many", "text", "grams")
+    both = read.filter(~has_hot).withColumn("cores", F.lit(None).cast("array<struct<h:long,n:long>>")).unionByName(read.filter(has_hot).join(cores, "row", "left"))
+    strings = durable(both.mapInArrow(_strings(length, hot, segment), STRINGS), "strings")
+    drop_durable(cells, core_counts)
     dealt = strings.filter("key is not null").select("key", "sid", "off", "n", "times", "many", "bytes").repartition(task_count(spark), "key").sortWithinPartitions("key")
     marks = durable(dealt.mapInArrow(_judged(length), MARKS), "marks")
     occurrences = strings.filter("row is not null").select("sid", "row", "start")
