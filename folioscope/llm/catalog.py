@@ -67,16 +67,21 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(k) as text_
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _OP10 = (
     rf"""
-with words as (
-    select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w,
-        list_transform(string_split(translate(coalesce(text, ''), {_ASCII}), chr(10)), lambda x: list_distinct(regexp_extract_all(x, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) as blocks
-    from documents
+with texts as (select doc_id, translate(coalesce(text, ''), {_ASCII}) as low from documents),
+words as (select doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w, low from texts),
+paras as (select doc_id, regexp_extract_all(unnest(string_split_regex(low, '\n[\x00-\x2F\x3A-\x60\x7B-\x7F]*\n')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+templates as (
+    select label, len(string_split(text, ' ')) as reach, list_distinct(string_split(text, ' ')) as t, string_split(tell, ' ') as tell, string_split(bar, ' ') as bar
+    from (values {", ".join(f"('{label}', '{text}', '{tell}', '{bar}')" for label, text, tell, bar in TEMPLATES)}) x(label, text, tell, bar)
 ),
-templates as (select label, list_distinct(string_split(text, ' ')) as t from (values {", ".join(f"('{text}', '{label}')" for text, label in TEMPLATES)}) x(text, label)),
-each as (select doc_id, unnest(blocks) as b from words),
+likely as (
+    select doc_id, w, label, reach, t, tell, bar from (select distinct doc_id, w from paras) join templates
+    on list_has_all(w, tell) and len(list_intersect(list_distinct(w), t)) >= ceil({THRESHOLD} * len(t) - 1e-9)
+),
+blocks as (select doc_id, label, t, tell, bar, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i:i + reach - 1])) as b from likely),
 met as (
-    select doc_id, label, len(list_intersect(b, t)) as o, len(t) as k
-    from each join templates on len(list_intersect(b, t)) >= ceil({THRESHOLD} * len(t) - 1e-9)
+    select doc_id, label, len(list_intersect(list_distinct(b), t)) as o, len(t) as k from blocks
+    where list_has_all(b, tell) and not list_has_any(b, bar) and len(list_intersect(list_distinct(b), t)) >= ceil({THRESHOLD} * len(t) - 1e-9)
 ),
 more as (select doc_id, list(distinct label) as l, max(o::double / k) as best from met group by doc_id),
 base as (

@@ -489,7 +489,7 @@ def naive_removal_of_long(texts, length):
         yield len(x), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("length,hot", [(400, 16_384), (400, 1), (64, 3), (70, 10**9)])
+@pytest.mark.parametrize("length,hot", [(400, 1024), (400, 1), (64, 3), (70, 10**9)])
 def test_repeated_strings(spark, docs, length, hot):
     short = [(d, t) for d, t, *_ in ROWS if len(t or "") < 5000]
     df = spark.createDataFrame(short, "doc_id long, text string").repartition(3)
@@ -503,8 +503,8 @@ def test_repeated_strings_in_long_texts(spark):
     texts = [LONG, LONG + " more", LONG[100:20_000] + edge, "q" * 3000 + edge + LONG[5:3000], "\0" * 900, "\0" * 450 + edge[:500], edge, edge, None, edge[:399]]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
     want = [(d, *x) for d, x in enumerate(naive_removal_of_long(texts, 400))]
-    for segment in (1000, 4096, substrings.SEGMENT):
-        same(substrings.repeated_strings(df, segment=segment), want)
+    for segment, hot in ((1000, 1), (4096, 4), (substrings.SEGMENT, 1024)):
+        same(substrings.repeated_strings(df, hot=hot, segment=segment), want)
 
 
 def test_owners_do_not_depend_on_segments():
@@ -561,11 +561,55 @@ def test_wrapped_licenses(spark):
     assert got == {i: (label, 1.0 if label else 0.0) for i, label in enumerate(texts)} | {9: ("", 0.0)}
 
 
-def test_telling_words(spark):
-    texts = ["Licensed under CC BY 4.0.", "Released under the BSD License", "Licensed under CC BY-NC 4.0", "Released under MIT License", "Licensed under the Apache License, Version 2.0\nreleased today"]
-    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+def test_licences_are_told_apart(spark):
+    wanted = {
+        "Licensed under CC BY 4.0.": "cc-by", "Released under the BSD License": "bsd", "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc", "Released under MIT License": "mit",
+        "Licensed under the Apache License, Version 2.0\nreleased today": "apache-2.0", "released under the apache license": "apache", "licensed under the gpl license version 2 0": "gpl",
+        "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated": "mit",
+        "# you can redistribute it and/or modify\n# it under the terms of the GNU Lesser General Public License as published by\n# the Free Software Foundation": "gpl,lgpl",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa", "er kam mit dem Hund released under the license": "",
+        "This work is dedicated to the public domain": "public-domain", "mit " * 30 + "released under the license": "mit",
+    }
+    docs = spark.createDataFrame([*enumerate(wanted)], "doc_id long, text string")
     got = {r.doc_id: r.labels for r in licenses.license_scan(docs).collect()}
-    assert got == {0: "cc-by", 1: "", 2: "cc-by,cc-by-nc", 3: "mit", 4: "apache-2.0"}
+    # 'general public license' is a base phrase, so the lesser one has the base label too
+    assert got == dict(enumerate(wanted.values()))
+
+
+def naive_licenses(text, threshold=licenses.THRESHOLD):
+    """(label, containment) of every block of every paragraph."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    found = {}
+    for para in re.split(licenses.GAP, low):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", para)
+        for label, wording, tell, bar in licenses.TEMPLATES:
+            different, n = set(wording.split()), len(wording.split())
+            for i in range(len(words)):
+                block = set(words[i : i + n])
+                share = len(block & different) / len(different)
+                if share >= threshold - 1e-9 and set(tell.split()) <= block and not block & set(bar.split()):
+                    found[label] = max(found.get(label, 0), share)
+    return found
+
+
+def test_licenses_against_every_block(spark):
+    base = [w for _, text, _, _ in licenses.TEMPLATES for w in text.split()]
+    texts = []
+    for _ in range(120):
+        _, wording, *_ = rnd.choice(licenses.TEMPLATES)
+        words = [w if rnd.random() > 0.12 else rnd.choice(base) for w in wording.split()]
+        for _ in range(rnd.randrange(3)):
+            words.insert(rnd.randrange(len(words) + 1), rnd.choice(base))
+        around = [rnd.choice(base) for _ in range(rnd.randrange(60))]
+        at = rnd.randrange(len(around) + 1)
+        texts.append("".join(w + rnd.choice([" ", ", ", "\n", "\n * ", " ", " ", "\n\n" if rnd.random() < 0.1 else " "]) for w in around[:at] + words + around[at:]))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    paras = licenses.scan(docs)
+    got = defaultdict(dict)
+    for r in licenses.find_templates(paras.selectExpr("doc_id as row", "explode(paras) as words")).collect():
+        got[r.row][r.label] = max(got[r.row].get(r.label, 0), r.containment)
+    assert [got[i] for i in range(len(texts))] == [pytest.approx(naive_licenses(t)) for t in texts]
+    assert len({label for found in got.values() for label in found}) > 12
 
 
 def test_vocabulary_size_is_checked(spark, tmp_path, monkeypatch):
