@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # What an entry begins with, and the numerals that OCR puts before it.
 ENTRY = f"^(绪论|尾声|后记|附录|第{NUM}+[卷章])"
 LEADING = "^[一二三四五六七八九十]+(?=第?[^0-9])"
+#: Running headers: what pages of contents are headed, and one that a book of the tests has; ``headers`` arguments change them.
 HEADERS = ("目录", "世界文字发展史")
 ALIKE, FRONT_PAGES, FIRST_LINES = 0.74, 60, 8
 
@@ -54,14 +56,14 @@ def _joined(parts: Column) -> Column:
     return clean_title(F.array_join(F.transform(F.array_sort(parts), lambda p: normalize(p["text"])), ""))
 
 
-def contents_rows(lines: DataFrame) -> DataFrame:
+def contents_rows(lines: DataFrame, headers: tuple[str, ...] = HEADERS) -> DataFrame:
     """doc_id, line_seq, title, level, printed_page, source_page_index, y, confidence of every page's rows.
 
     ``lines``: OCR lines (doc_id, page_index, line_seq, text, x0..y1, confidence) with their ``page_width``. A page number at
     the right is joined to what stands to its left in its row; a volume's heading needs no number.
     """
     number = is_page_number(F.col("text"), F.col("x0"), F.col("page_width"))
-    known = lines.withColumn("number", number).filter(F.col("number") | ~_compact(F.col("text")).isin(*HEADERS))
+    known = lines.withColumn("number", number).filter(F.col("number") | ~_compact(F.col("text")).isin(*headers))
     page, height = ["doc_id", "page_index"], lambda r: F.col(f"{r}.y1") - F.col(f"{r}.y0")
     row = F.struct("line_seq", "text", "x0", "y0", "x1", "y1", "confidence")
     right = known.filter("number").select(*page, row.alias("n"))
@@ -136,27 +138,68 @@ def _alike(a: tuple[str, str], b: tuple[str, str]) -> bool:
     return 2 * min(len(left), len(right)) / (len(left) + len(right)) >= ALIKE and 2 * common_length(left, right) / (len(left) + len(right)) >= ALIKE
 
 
+def _deduped(schema: list[str]):
+    """Batches sorted by page, level and title to the nodes kept, with ``slot`` within their page."""
+
+    def pages(batches):
+        key, held = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:2] != key:
+                    if held:
+                        yield held
+                    key, held = row[:2], []
+                held.append(row)
+        if held:
+            yield held
+
+    def kept(page: list[tuple]) -> list[tuple]:
+        out: list[tuple] = []
+        for row in page:
+            name = row[-2:]
+            at = next((k for k, old in enumerate(out) if _alike(old[-2:], name)), None)
+            if at is None:
+                out.append(row)
+            elif len(name[1].encode("utf-16-le")) > len(out[at][-1].encode("utf-16-le")):
+                out[at] = row
+        return [(*row[2:-2], k) for k, row in enumerate(out)]
+
+    def run(batches):
+        rows: list[tuple] = []
+        names = None
+
+        def batch_of():
+            cols = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+        def seen():
+            nonlocal names, kinds
+            for b in batches:
+                if names is None:
+                    names, kinds = [*schema, "slot"], [*b.schema.types[2:-2], pa.int32()]
+                yield b
+
+        kinds = None
+        for page in pages(seen()):
+            rows += kept(page)
+            if len(rows) >= 8192:
+                yield batch_of()
+                rows = []
+        if rows:
+            yield batch_of()
+
+    return run
+
+
 def dedupe_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes without those like an earlier one of their page; the longer title of the two takes its place. Adds ``node_seq``.
 
-    Pages are read by level, then title in code point order.
+    Pages are read by level, then title in the order of Unicode's collation.
     """
     schema = ", ".join(f"`{c}` {t}" for c, t in nodes.dtypes)
-    keyed = nodes.withColumn("_key", match_key(F.col("title"))).withColumn("_compact", squeeze(normalize(F.col("title"))))
-
-    def run(page):
-        page = page.sort_values(["level", "title"], kind="stable")
-        names, kept = list(zip(page["_key"], page["_compact"], strict=True)), []
-        for i, name in enumerate(names):
-            at = next((k for k, j in enumerate(kept) if _alike(names[j], name)), None)
-            if at is None:
-                kept.append(i)
-            elif len(name[1].encode("utf-16-le")) > len(names[kept[at]][1].encode("utf-16-le")):
-                kept[at] = i
-        out = page.iloc[kept].drop(columns=["_key", "_compact"])
-        return out.assign(slot=range(len(out))).astype({"slot": "int32"})
-
-    slots = keyed.groupBy("doc_id", "page_index").applyInPandas(run, f"{schema}, slot int")
+    keyed = nodes.select(F.col("doc_id").alias("_doc"), F.col("page_index").alias("_page"), "*", match_key(F.col("title")).alias("_key"), squeeze(normalize(F.col("title"))).alias("_compact"))
+    read = keyed.repartition("_doc", "_page").sortWithinPartitions("_doc", "_page", "level", F.collate("title", "UNICODE"), "title")
+    slots = read.mapInArrow(_deduped(nodes.columns), f"{schema}, slot int")
     return slots.withColumn("node_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_index", "slot")) - 1).drop("slot")
 
 
