@@ -135,12 +135,13 @@ def cover_node(spark, sf_dir):
 
 
 def title_similarity(spark, sf_dir):
-    titled = S.lines(spark, sf_dir).withColumn("following", F.lead("text").over(Window.partitionBy("doc_id").orderBy("line_seq")))
-    return titled.select("doc_id", "line_seq", M.title_similarity(F.col("text"), F.coalesce("following", F.lit(""))).alias("similarity"))
+    """Of each candidate's title and the next one's."""
+    titled = C.candidates(S.lines(spark, sf_dir)).withColumn("following", F.lead("text", 1, "").over(Window.partitionBy("doc_id").orderBy(*C.ORDER)))
+    return titled.select("doc_id", "line_seq", "single", F.round(M.title_similarity(F.col("text"), F.col("following")), 12).alias("similarity"))
 
 
 def dedupe_nodes(spark, sf_dir):
-    return P.dedupe_nodes(S.lines(spark, sf_dir).select("doc_id", "page_index", "line_seq", T.normalize(F.col("text")).alias("title"), (F.col("line_seq") % 4 + 1).cast("int").alias("level")))
+    return P.dedupe_nodes(C.candidates(S.lines(spark, sf_dir)).select("doc_id", "page_index", "line_seq", F.col("text").alias("title"), F.col("level_hint").alias("level")))
 
 
 def _moved(nodes):

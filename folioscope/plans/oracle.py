@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.similarity import MATCH_PUNCTUATION
 from ..functions.text import CHAPTER, CJK, DECIMAL, KEYWORDS, NUM, OCR_PREFIX, PUNCTUATION, SECTION, SECTION_LATIN, SPACES, STRUCTURAL, TEXT_PREFIX, TOP_HEADING, TOP_LATIN, VOLUME
 
 D = "::double"
@@ -62,17 +63,19 @@ _TOTAL = _clamp(f"0.45{D} * style_score + 0.2{D} * position_score + 0.25{D} * pa
 
 _LINES = f"""
 parts as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as n from documents),
-slots as (select doc_id, raw, n::int as line_seq, (n // 4)::int as page_index, (n % 4)::int as slot, doc_id % 5 = 0 as cjk from parts),
+slots as (select doc_id, raw, string_split(raw, ' ') as w, n::int as n, (n // 4)::int as page_index, (n % 4)::int as slot, doc_id % 5 = 0 as cjk from parts),
+named as (select *, '第' || substring('一二三四五六七八九十', page_index % 10 + 1, 1) || case when page_index % 6 = 0 then '卷' else '章' end as name from slots),
 worded as (select *, case
-    when cjk and slot = 0 then '第' || substring('一二三四五六七八九十', page_index % 10 + 1, 1) || case when page_index % 6 = 0 then '卷' else '章' end
-    when cjk and slot = 1 then substring(raw, 1, 20)
-    when cjk and slot = 2 and page_index = 1 then '绪论'
-    when not cjk and slot = 0 then 'Chapter ' || (page_index + 1) || ' ' || substring(raw, 1, 24)
-    when not cjk and slot = 2 then (page_index + 1) || '.' || slot || ' ' || substring(raw, 1, 24)
-    else substring(raw, 1, 150) end as text,
-    (case when slot = 0 then 22 when slot = 2 then 18 when slot = 1 and cjk then 16 else 12 end){D} as font_size from slots),
-lines as (select doc_id, page_index, line_seq, slot, text, 72{D} as x0, (72 + 40 * slot){D} as y0, (72 + 6 * length(text)){D} as x1, (72 + 40 * slot){D} + font_size as y1, font_size,
-    slot = 0 as is_bold, case when slot = 0 then 'Body-Bold' else 'Body' end as font_name, 792{D} as page_height, (72 + 40 * slot){D} / 792{D} as top_ratio from worded)
+    when cjk and slot = 0 and page_index % 2 = 0 then [name, array_to_string(w[1:3], ' '), array_to_string(w[4:], ' ')]
+    when cjk and slot = 0 then [name, array_to_string(w[1:2], ' '), array_to_string(w[3:4], ' '), array_to_string(w[5:], ' ')]
+    when cjk and slot = 2 and page_index = 1 then ['绪论', raw]
+    when not cjk and slot = 0 then ['Chapter ' || (page_index + 1) || ' ' || array_to_string(w[1:3], ' '), array_to_string(w[4:], ' ')]
+    when not cjk and slot = 2 then [(page_index + 1) || '.2 ' || array_to_string(w[1:3], ' '), array_to_string(w[4:], ' ')]
+    else [raw] end as texts from named),
+split as (select doc_id, page_index, slot, cjk, n, unnest(texts) as text, (generate_subscripts(texts, 1) - 1)::int as part from worded),
+sized as (select *, (n * 4 + part)::int as line_seq, (72 + 120 * slot + 28 * part){D} as y0, part = 0 and slot = 0 as is_bold,
+    (case when part = 0 and slot = 0 then 22 when part = 0 and slot = 2 and (not cjk or text = '绪论') then 18 when cjk and slot = 0 and (part = 1 or (part = 2 and page_index % 2 = 1)) then 16 else 12 end){D} as font_size from split),
+lines as (select doc_id, page_index, line_seq, slot, part, text, 72{D} as x0, y0, (72 + 6 * length(text)){D} as x1, y0 + font_size as y1, font_size, is_bold, case when is_bold then 'Body-Bold' else 'Body' end as font_name, 792{D} as page_height, y0 / 792{D} as top_ratio from sized)
 """
 
 _FRAGMENTS = f"""{_LINES},
@@ -136,9 +139,9 @@ class as (select doc_id, case when text_pages{D} / page_count >= 0.8{D} then 'te
 """
 
 _OCR = f"""{_LINES},
-coerced as (select doc_id, page_index, (line_seq % 4)::int as line_seq, {_norm("text")} as text,
-    x0, case when doc_id % 7 <> 0 then y0 else least(791{D}, 72{D} + 18{D} * (line_seq % 4)) end as y0,
-    case when doc_id % 7 <> 0 then x1 else 540{D} end as x1, case when doc_id % 7 <> 0 then y1 else least(791{D}, 72{D} + 18{D} * (line_seq % 4)) + 12{D} end as y1,
+coerced as (select doc_id, page_index, (slot * 4 + part)::int as line_seq, {_norm("text")} as text,
+    x0, case when doc_id % 7 <> 0 then y0 else least(791{D}, 72{D} + 18{D} * (slot * 4 + part)) end as y0,
+    case when doc_id % 7 <> 0 then x1 else 540{D} end as x1, case when doc_id % 7 <> 0 then y1 else least(791{D}, 72{D} + 18{D} * (slot * 4 + part)) + 12{D} end as y1,
     0.8{D} + 0.02{D} * (line_seq % 10){D} as confidence from lines where {_norm("text")} <> ''),
 ocr as (select *, greatest(0{D}, y1 - y0) as height from coerced),
 height as (select doc_id, coalesce(quantile_cont(case when height between 6 and 32 then height end, 0.5), 12){D} as body_height from ocr group by doc_id)
@@ -178,6 +181,70 @@ toc_rows as (
     select doc_id, title, case when regexp_matches(title, '{CHAPTER}') then 2 else 1 end as level, printed::int as printed_page, source_page_index, y + 3{D} as y, 0.85{D} as confidence from toc where numbered
     union all select doc_id, title, 1, null, source_page_index, y, 0.9{D} from toc where regexp_matches({_squeeze("title")}, '{VOLUME}'))"""
 
+def _key(c: str) -> str:
+    return f"regexp_replace(lower({c}), '{MATCH_PUNCTUATION.replace(chr(39), chr(39) * 2)}', '', 'g')"
+
+
+def _common(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two keys of up to 126 characters, a column of the table in the bits of a number."""
+    full = f"((1::hugeint << length({a})) - 1)"
+    mask = f"list_transform(string_split({b}, ''), lambda ch: list_sum(list_transform(range(0, length({a})), lambda i: case when string_split({a}, '')[i + 1] = ch then 1::hugeint << i::int else 0::hugeint end))::hugeint)"
+    return f"(length({a}) - bit_count(list_reduce({mask}, lambda v, m: ((v + (v & m)) | (v & ~m)) & {full}, {full})))"
+
+
+def _alike(a: str, b: str, total: str) -> str:
+    held = f"(contains({a}, {b}) or contains({b}, {a}))"
+    return f"(case when {a} = '' or {b} = '' then 0{D} when {held} then least({_units(a)}, {_units(b)}){D} / greatest({_units(a)}, {_units(b)}) else 2{D} * {_common(a, b)} / {total} end)"
+
+
+def _title_alike(a: str, b: str) -> str:
+    return f"(case when {a} in ('附录', '后记') and starts_with({b}, {a}) then 0.9{D} else {_alike(a, b, f'(length({a}) + length({b}))')} end)"
+
+
+_CLUSTERS = f"""with recursive {_OCR},
+read as (select doc_id, page_index, line_seq, x0, y0, y1, (y0 + y1) / 2 as c, height, row_number() over (partition by doc_id, page_index order by (y0 + y1) / 2, x0, line_seq) as nth from ocr),
+fold as (
+    select doc_id, page_index, line_seq, x0, y0, y1, nth, [c] as heads, 0 as row_id from read where nth = 1
+    union all
+    select doc_id, page_index, line_seq, x0, y0, y1, nth, case when place is null then list_append(heads, c) else heads end, coalesce(place - 1, len(heads))::int
+    from (select r.*, f.heads, list_position(list_transform(f.heads, lambda h: abs(h - r.c) <= greatest(8{D}, r.height)), true) as place
+        from fold f join read r on r.doc_id = f.doc_id and r.page_index = f.page_index and r.nth = f.nth + 1)
+)
+select doc_id, page_index, line_seq, x0, y0, y1, row_id from fold"""
+
+_DEDUPED = f"""with recursive {_scored(80)},
+keyed as (select doc_id, page_index, line_seq, text as title, level_hint as level, {_key("text")} as k, {_squeeze(_norm("text"))} as c from candidates),
+read as (select *, {_units("c")} as n, row_number() over (partition by doc_id, page_index order by level, title collate en, title, line_seq) as nth from keyed),
+pairs as (select a.doc_id, a.page_index, b.nth, list(a.nth) as likes from read a join read b on a.doc_id = b.doc_id and a.page_index = b.page_index and a.nth < b.nth
+    where contains(a.c, b.c) or contains(b.c, a.c) or {_title_alike("a.k", "b.k")} >= 0.74{D} group by all),
+known as (select r.doc_id, r.page_index, r.nth, r.n, coalesce(likes, []) as likes, max(r.nth) over (partition by r.doc_id, r.page_index) as last from read r left join pairs p on r.doc_id = p.doc_id and r.page_index = p.page_index and r.nth = p.nth),
+fold as (
+    select doc_id, page_index, nth, last, [nth] as kept, [n] as sizes from known where nth = 1
+    union all
+    select doc_id, page_index, nth, last,
+        case when place is null then list_append(kept, nth) when n > sizes[place] then list_concat(list_append(kept[:place - 1], nth), kept[place + 1:]) else kept end,
+        case when place is null then list_append(sizes, n) when n > sizes[place] then list_concat(list_append(sizes[:place - 1], n), sizes[place + 1:]) else sizes end
+    from (select k.*, f.kept, f.sizes, list_position(list_transform(f.kept, lambda x: list_contains(k.likes, x)), true) as place
+        from fold f join known k on k.doc_id = f.doc_id and k.page_index = f.page_index and k.nth = f.nth + 1)
+),
+held as (select doc_id, page_index, unnest(kept) as nth, generate_subscripts(kept, 1) as slot from fold where nth = last)
+select s.doc_id, s.page_index, line_seq, title, level, (row_number() over (partition by s.doc_id order by s.page_index, slot) - 1)::int as node_seq from held s join read r on r.doc_id = s.doc_id and r.page_index = s.page_index and r.nth = s.nth"""
+
+_EVALUATED = f"""with {_JUDGED},
+original as (select *, {_key("title")} as k from outline),
+shifted as (select doc_id, node_seq, case when node_seq % 4 = 1 then title || ' x' else title end as title, page_index + node_seq % 4 as page_index from outline where node_seq % 5 <> 3),
+made as (select *, {_key("title")} as k from shifted),
+pairs as (select o.doc_id, o.node_seq, m.node_seq as made_seq, o.k as a, m.k as b, abs(o.page_index - m.page_index) as delta, {_alike("o.k", "m.k", f'({_units("o.k")} + {_units("m.k")})')} as s from original o join made m using (doc_id)),
+fitting as (select *, a <> '' and b <> '' and (a = b or (starts_with(a, b) and {_units("b")} >= 2) or (starts_with(b, a) and {_units("a")} >= 2) or s >= 0.72{D}) as fits from pairs),
+best as (select * from fitting qualify row_number() over (partition by doc_id, node_seq order by fits::int{D} + s * 0.1{D} - least(delta, 50) * 0.01{D} desc, made_seq) = 1),
+claimed as (select *, row_number() over (partition by doc_id, made_seq order by node_seq) as claim from best where fits and delta <= 2),
+counts as (select doc_id, count(*) as original_count from original group by doc_id),
+made_counts as (select doc_id, count(*) as made_count from made group by doc_id),
+hits as (select doc_id, count(*) as matched_count, count(*) filter (delta = 0) as exact_page_matches, count(*) filter (delta <= 1) as within_1_page, count(*) filter (delta <= 2) as within_2_pages from claimed where claim = 1 group by doc_id)
+select doc_id, original_count, coalesce(made_count, 0) as made_count, coalesce(matched_count, 0) as matched_count, coalesce(exact_page_matches, 0) as exact_page_matches, coalesce(within_1_page, 0) as within_1_page, coalesce(within_2_pages, 0) as within_2_pages,
+    round(coalesce(matched_count, 0){D} / original_count, 3) as recall, case when coalesce(made_count, 0) = 0 then 0{D} else round(coalesce(matched_count, 0){D} / made_count, 3) end as precision
+from counts left join made_counts using (doc_id) left join hits using (doc_id)"""
+
 _SCORES = "style_score, position_score, pattern_score, semantic_score, total_score"
 
 ORACLE = {
@@ -220,4 +287,9 @@ ORACLE = {
         long_nodes as (select doc_id, node_seq, title, level, page_index, confidence, source from front union all select doc_id, node_seq, title, level, page_index, confidence, source from moved),
         due as (select doc_id from long_nodes group by doc_id having count(*) >= 5 and count(*) filter (regexp_matches(title, '^(绪论|第{NUM}+[卷章]|尾声|后记|附录)')) >= 3)
         select * from long_nodes union all select doc_id, -1, '封面', 1, 0, 0.6{D}, 'rule' from due""",
+    "same_row_clusters": _CLUSTERS,
+    "title_similarity": f"""with {_scored(80)}, keyed as (select doc_id, page_index, y0, single, line_seq, {_key("text")} as a, lead({_key("text")}, 1, '') over (partition by doc_id order by page_index, y0, x0, single, line_seq) as b from candidates)
+        select doc_id, line_seq, single, round({_title_alike("a", "b")}, 12) as similarity from keyed""",
+    "dedupe_nodes": _DEDUPED,
+    "outline_eval": _EVALUATED,
 }

@@ -15,25 +15,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page_index, line_seq, text, x0..y1, font_size, is_bold, font_name, page_height, top_ratio."""
-    each = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
+    """doc_id, page_index, line_seq, text, x0..y1, font_size, is_bold, font_name, page_height, top_ratio, slot, part.
+
+    Four lines of text make a page. Headings are made up before some of them, of their first words, so such a line is parted
+    into up to four; all words of the text stay. ``line_seq`` is four times the line's number plus the part.
+    """
+    each = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("w", F.split("raw", " "))
     page, slot, cjk = F.floor(F.col("line_no") / 4).cast("int"), F.col("line_no") % 4, F.col("doc_id") % 5 == 0
     numeral = F.substring(F.lit(NUMERALS), page % 10 + 1, F.lit(1))
     named = F.concat(F.lit("第"), numeral, F.when(page % 6 == 0, "卷").otherwise("章"))
-    text = (
-        F.when(cjk & (slot == 0), named)
-        .when(cjk & (slot == 1), F.substring("raw", 1, 20))
-        .when(cjk & (slot == 2) & (page == 1), "绪论")
-        .when(~cjk & (slot == 0), F.concat(F.lit("Chapter "), (page + 1).cast("string"), F.lit(" "), F.substring("raw", 1, 24)))
-        .when(~cjk & (slot == 2), F.concat((page + 1).cast("string"), F.lit("."), slot.cast("string"), F.lit(" "), F.substring("raw", 1, 24)))
-        .otherwise(F.substring("raw", 1, 150))
+    words = lambda first, n=None: F.array_join(F.slice("w", first, F.lit(n) if n else F.size("w")), " ")
+    parts = (
+        F.when(cjk & (slot == 0) & (page % 2 == 0), F.array(named, words(1, 3), words(4)))
+        .when(cjk & (slot == 0), F.array(named, words(1, 2), words(3, 2), words(5)))
+        .when(cjk & (slot == 2) & (page == 1), F.array(F.lit("绪论"), F.col("raw")))
+        .when(~cjk & (slot == 0), F.array(F.concat(F.lit("Chapter "), (page + 1).cast("string"), F.lit(" "), words(1, 3)), words(4)))
+        .when(~cjk & (slot == 2), F.array(F.concat((page + 1).cast("string"), F.lit(".2 "), words(1, 3)), words(4)))
+        .otherwise(F.array("raw"))
     )
-    size = F.when(slot == 0, lit(22)).when(slot == 2, lit(18)).when((slot == 1) & cjk, lit(16)).otherwise(lit(12))
-    out = each.select("doc_id", page.alias("page_index"), F.col("line_no").alias("line_seq"), text.alias("text"), slot.alias("slot"), size.alias("font_size"))
-    y0 = lit(72) + lit(40) * F.col("slot").cast("double")
+    out = each.select("doc_id", page.alias("page_index"), slot.alias("slot"), "line_no", cjk.alias("cjk"), F.posexplode(parts).alias("part", "text"))
+    heads = (F.col("part") == 0) & (F.col("slot").isin(0) | ((F.col("slot") == 2) & (~F.col("cjk") | (F.col("text") == "绪论"))))
+    first = (F.col("part") == 0) & (F.col("slot") == 0)
+    short = F.col("cjk") & (F.col("slot") == 0) & ((F.col("part") == 1) | ((F.col("part") == 2) & (F.col("page_index") % 2 == 1)))
+    size = F.when(first, lit(22)).when(heads, lit(18)).when(short, lit(16)).otherwise(lit(12))
+    y0 = lit(72) + lit(120) * F.col("slot").cast("double") + lit(28) * F.col("part").cast("double")
+    out = out.select("*", (F.col("line_no") * 4 + F.col("part")).alias("line_seq"), size.alias("font_size"), first.alias("is_bold"), y0.alias("y0"))
     return out.select(
-        "doc_id", "page_index", "line_seq", "text", lit(72).alias("x0"), y0.alias("y0"), (lit(72) + lit(6) * F.length("text").cast("double")).alias("x1"), (y0 + F.col("font_size")).alias("y1"),
-        "font_size", (F.col("slot") == 0).alias("is_bold"), F.when(F.col("slot") == 0, "Body-Bold").otherwise("Body").alias("font_name"), lit(792).alias("page_height"), (y0 / lit(792)).alias("top_ratio"),
+        "doc_id", "page_index", "line_seq", "text", lit(72).alias("x0"), "y0", (lit(72) + lit(6) * F.length("text").cast("double")).alias("x1"), (F.col("y0") + F.col("font_size")).alias("y1"),
+        "font_size", "is_bold", F.when(F.col("is_bold"), "Body-Bold").otherwise("Body").alias("font_name"), lit(792).alias("page_height"), (F.col("y0") / lit(792)).alias("top_ratio"), "slot", "part",
     )
 
 
@@ -49,15 +58,15 @@ def ocr_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_index, line_no (on its page), text, render_scale, page_height, bx0..by1 in pixels or null, confidence."""
     held = F.col("doc_id") % 7 != 0
     box = [F.when(held, lit(2) * F.col(c)).alias("b" + c) for c in ("x0", "y0", "x1", "y1")]
-    return lines(spark, sf_dir).select("doc_id", "page_index", (F.col("line_seq") % 4).alias("line_no"), "text", lit(2).alias("render_scale"), "page_height", *box, (lit(0.8) + lit(0.02) * (F.col("line_seq") % 10).cast("double")).alias("confidence"))
+    return lines(spark, sf_dir).select("doc_id", "page_index", (F.col("slot") * 4 + F.col("part")).alias("line_no"), "text", lit(2).alias("render_scale"), "page_height", *box, (lit(0.8) + lit(0.02) * (F.col("line_seq") % 10).cast("double")).alias("confidence"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of ``lines`` as items: doc_id, page_index, item_seq, text, x0..y1, font_size, is_bold, font_name, page_height, has_eol."""
-    words = F.split("text", " ")
-    before = F.when(F.col("k") > 0, F.length(F.array_join(F.slice("words", 1, F.col("k")), " ")) + 1).otherwise(0)
-    each = lines(spark, sf_dir).withColumn("words", words).select("*", F.posexplode("words").alias("k", "word")).filter(F.trim("word") != "").withColumn("x0", lit(72) + lit(6) * before.cast("double"))
-    return each.select("doc_id", "page_index", (F.col("line_seq") * 1000 + F.col("k")).alias("item_seq"), F.col("word").alias("text"), "x0", "y0", (F.col("x0") + lit(6) * F.length("word").cast("double")).alias("x1"), "y1", "font_size", "is_bold", "font_name", "page_height", F.lit(False).alias("has_eol"))
+    line = Window.partitionBy("doc_id", "line_seq").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    words = lines(spark, sf_dir).select("*", F.posexplode(F.split("text", " ")).alias("k", "word"))
+    each = words.withColumn("x0", lit(72) + lit(6) * F.coalesce(F.sum(F.length("word") + 1).over(line), F.lit(0)).cast("double")).filter(F.trim("word") != "")
+    return each.select("doc_id", "page_index", (F.col("line_seq").cast("long") * 1_000_000 + F.col("k")).alias("item_seq"), F.col("word").alias("text"), "x0", "y0", (F.col("x0") + lit(6) * F.length("word").cast("double")).alias("x1"), "y1", "font_size", "is_bold", "font_name", "page_height", F.lit(False).alias("has_eol"))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,29 +76,6 @@ def test_evaluation(spark):
     assert [r.title for r in E.extras(original, made).orderBy("doc_id").collect()] == ["Other", "New"]
 
 
-def test_similarity_query(spark, sf_dir):
-    import re
-
-    import __spark_entry__ as entry
-    from folioscope.sources import fixtures as S
-
-    marks = re.compile(r"[\s!！?？:：,，.。;；、·《》“”\"'()（）\[\]【】\-—_．…]+")
-
-    def plain(left, right):
-        a, b = marks.sub("", left.lower()), marks.sub("", right.lower())
-        if not a or not b:
-            return 0.0
-        if a in b or b in a:
-            return min(len(a), len(b)) / max(len(a), len(b))
-        return 2 * lcs(a, b) / (len(a) + len(b))
-
-    texts = {}
-    for r in S.lines(spark, sf_dir).select("doc_id", "line_seq", "text").filter("doc_id < 40").collect():
-        texts[r.doc_id, r.line_seq] = r.text
-    got = {(r.doc_id, r.line_seq): r.similarity for r in entry.queries()["title_similarity"](spark, sf_dir).collect()}
-    for (d, k), text in texts.items():
-        assert got[d, k] == pytest.approx(plain(text, texts.get((d, k + 1), "")))
-
 OCR = "doc_id long, page_index int, line_seq int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, page_width double"
 
 
