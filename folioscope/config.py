@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
 
@@ -61,3 +62,51 @@ def load(path: str | None = None) -> Config:
 
     given = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
     return replace(DEFAULT, **{name: _checked(getattr(DEFAULT, name), given.get(name) or {}) for name in ("score_weights", "thresholds", "rules")})
+
+
+def env_flag(environ, name: str) -> bool:
+    return environ.get(name, "").strip().lower() in ("1", "true", "yes", "on")
+
+
+def _number(environ, name: str, default, pattern: str, kind):
+    """The number that the variable begins with, else the default."""
+    found = re.match(pattern, environ.get(name, "").strip())
+    return kind(found[0]) if found else default
+
+
+def env_int(environ, name: str, default: int) -> int:
+    return _number(environ, name, default, r"[+-]?[0-9]+", int)
+
+
+def env_float(environ, name: str, default: float) -> float:
+    return _number(environ, name, default, r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", float)
+
+
+STRATEGIES = ("toc-guided", "full-page")
+
+
+@dataclass(frozen=True)
+class Options:
+    """How a job uses OCR. ``limits``: pages that the guided strategy's steps read: front, probe, tail, and the window around an entry's page."""
+
+    enable_ocr: bool = False
+    force_ocr: bool = False
+    strategy: str = "toc-guided"
+    parallelism: int = 1
+    lang: str = "zh"
+    fallback: bool = True
+    scale: float = 2.0
+    front: int = 60
+    probe: int = 80
+    window: int = 0
+    tail: int = 8
+
+    @staticmethod
+    def of(environ, **given) -> Options:
+        """From variables beginning with FOLIOSCOPE_, under what is given. An unknown strategy is the guided one; the scale is held to 0.25 to 4."""
+        name = (given.pop("strategy", None) or environ.get("FOLIOSCOPE_OCR_STRATEGY") or STRATEGIES[0]).strip().lower().replace("_", "-")
+        told = {k: env_int(environ, f"FOLIOSCOPE_{v}", d) for k, v, d in (("front", "MAX_FRONT_SCAN", 60), ("probe", "OFFSET_PROBE_PAGES", 80), ("window", "CONFIRM_WINDOW", 0), ("tail", "TAIL_SCAN_PAGES", 8))}
+        told["scale"] = max(0.25, min(4.0, env_float(environ, "FOLIOSCOPE_OCR_RENDER_SCALE", 2.0)))
+        told["fallback"] = not env_flag(environ, "FOLIOSCOPE_DISABLE_FALLBACK")
+        out = Options(strategy=name if name in STRATEGIES else STRATEGIES[0], **{**told, **given})
+        return replace(out, force_ocr=out.force_ocr or (out.enable_ocr and env_flag(environ, "FOLIOSCOPE_FORCE_OCR")), parallelism=max(1, int(out.parallelism)))

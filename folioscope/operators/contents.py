@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import common_length, match_key, title_similarity
 from ..functions.text import CHAPTER, NUM, VOLUME, has_cjk, lit, normalize, squeeze, units
 from .layout import same_rows
+from .ocr import fragments
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -86,16 +87,16 @@ def contents_rows(lines: DataFrame, headers: tuple[str, ...] = HEADERS) -> DataF
     return both.select("doc_id", "line_seq", "title", level.alias("level"), "printed_page", F.col("page_index").alias("source_page_index"), "y", "confidence")
 
 
-def contents_extent(pages: DataFrame, lines: DataFrame, rows: DataFrame) -> DataFrame:
+def contents_extent(pages: DataFrame, lines: DataFrame, rows: DataFrame, front_pages: int = FRONT_PAGES) -> DataFrame:
     """doc_id, start_page, content_end, scan_end of documents whose first pages hold a table of contents.
 
     It starts at the first page titled so. It ends before a later list of figures, else before the first page without rows
     after one with rows, else with the pages. content_end is null where no page has rows.
     """
-    first = lines.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("line_seq"))).filter(F.col("nth") <= FIRST_LINES)
+    first = lines.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("y0", "x0", "line_seq"))).filter(F.col("nth") <= FIRST_LINES)
     titles = first.groupBy("doc_id", "page_index").agg(F.bool_or(_compact(F.col("text")) == "目录").alias("main"), F.bool_or(_compact(F.col("text")) == "图表目录").alias("figures"))
     filled = rows.select("doc_id", F.col("source_page_index").alias("page_index")).distinct().withColumn("filled", F.lit(True))
-    flags = pages.select("doc_id", "page_index").filter(F.col("page_index") < FRONT_PAGES).join(titles, ["doc_id", "page_index"], "left").join(filled, ["doc_id", "page_index"], "left").na.fill(False)
+    flags = pages.select("doc_id", "page_index").filter(F.col("page_index") < front_pages).join(titles, ["doc_id", "page_index"], "left").join(filled, ["doc_id", "page_index"], "left").na.fill(False)
     doc, at = Window.partitionBy("doc_id"), F.col("page_index")
     least = lambda cond: F.min(F.when(cond, at)).over(doc)
     seen = flags.withColumn("start", least(F.col("main"))).withColumn("figures_at", least(F.col("figures") & (at > F.col("start")))).withColumn("from", least(F.col("filled") & (at >= F.col("start")))).withColumn("gap", least(~F.col("filled") & (at > F.col("from"))))
@@ -203,6 +204,60 @@ def dedupe_nodes(nodes: DataFrame) -> DataFrame:
     return slots.withColumn("node_seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_index", "slot")) - 1).drop("slot")
 
 
+# What front matter is headed, and numerals that are no title.
+FRONT_TITLES = ("作者简介", "目录", "图表目录", "序言", "第二版序言", "第三版序言")
+LONE = tuple("一二三四五六七八九十上下")
+FRONT_LINES, TAIL_PAGES = 12, 8
+
+
+def is_noise(text: Column, headers: tuple[str, ...] = HEADERS) -> Column:
+    name = _compact(text)
+    return (name == "") | name.rlike("^[0-9]+$") | name.isin(*headers) | name.isin(*LONE)
+
+
+def top_lines(lines: DataFrame, headers: tuple[str, ...] = HEADERS) -> DataFrame:
+    """Lines in the upper part of their page and not at its sides, without noise."""
+    centre = (F.col("x0") + F.col("x1")) / 2 / F.greatest("page_width", lit(1))
+    return lines.filter((F.col("y0") / F.greatest("page_height", lit(1)) <= lit(0.42)) & ~is_noise(F.col("text"), headers) & centre.between(lit(0.08), lit(0.92)))
+
+
+def page_titles(lines: DataFrame, headers: tuple[str, ...] = HEADERS) -> DataFrame:
+    """doc_id, page_index, ord, title: what a page's title may be.
+
+    Heading fragments, then rows whose lines are put together, then structural headings with the line below; the first of
+    each title counts. ``lines``: coerced OCR lines with their ``page_width``.
+    """
+    page, top = ["doc_id", "page_index"], top_lines(lines, headers)
+    by_page = lambda *order: Window.partitionBy(*page).orderBy(*order)
+    pieces = fragments(top).select(*page, F.lit(0).alias("gen"), F.row_number().over(by_page("y0", "x0", units(F.col("text")), "single", "line_seq")).alias("nth"), clean_title(F.col("text")).alias("title"))
+    rows = same_rows(top).groupBy(*page, "row_id").agg(_joined(F.collect_list(F.struct("x0", "line_seq", "text"))).alias("title")).select(*page, F.lit(1).alias("gen"), F.col("row_id").alias("nth"), "title")
+    order = by_page("y0", "x0", "line_seq")
+    part = F.struct("x0", "line_seq", "text")
+    near = top.select(*page, "text", "y1", "height", part.alias("a"), F.lead(part).over(order).alias("b"), F.lead("y0").over(order).alias("below"), F.row_number().over(order).alias("nth"))
+    near = near.filter(F.col("b").isNotNull() & _compact(F.col("text")).rlike(ENTRY) & (F.col("below") - F.col("y1") <= F.greatest(lit(44), F.col("height") * lit(2.2))))
+    both = near.select(*page, F.lit(2).alias("gen"), "nth", _joined(F.array("a", "b")).alias("title"))
+    told = pieces.unionByName(rows).unionByName(both).filter((F.col("title") != "") & ~is_noise(F.col("title"), headers))
+    once = told.withColumn("again", F.row_number().over(Window.partitionBy(*page, _compact(F.col("title"))).orderBy("gen", "nth"))).filter("again = 1")
+    return once.select(*page, (F.row_number().over(by_page("gen", "nth")) - 1).alias("ord"), "title")
+
+
+def _found(nodes: DataFrame, sure: float) -> DataFrame:
+    return nodes.select("doc_id", display_title(F.col("title")).alias("title"), F.lit(1).alias("level"), "page_index", lit(sure).alias("confidence"), F.lit("rule").alias("source"))
+
+
+def front_nodes(lines: DataFrame) -> DataFrame:
+    """Nodes of front matter's titles among the first lines of a page. A title of contents at the very top is a running header."""
+    name = _compact(F.col("text"))
+    first = lines.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "page_index").orderBy("y0", "x0", "line_seq"))).filter(F.col("nth") <= FRONT_LINES)
+    return _found(first.filter(name.isin(*FRONT_TITLES) & ~((name == "目录") & (F.col("y0") < lit(60)))).withColumnRenamed("text", "title"), 0.9)
+
+
+def tail_nodes(titles: DataFrame) -> DataFrame:
+    """Nodes of afterwords, appendices and lists among page titles."""
+    name = _compact(F.col("title"))
+    return _found(titles.filter((name == "后记") | name.startswith("附录") | name.endswith("目录")), 0.82)
+
+
 def page_offset(entries: DataFrame, titles: DataFrame, starts: DataFrame, pages: int = 80, anchors: int = 6) -> DataFrame:
     """doc_id, found_page, page_offset: where a document's first headings stand, and its printed pages' distance from that.
 

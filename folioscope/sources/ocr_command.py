@@ -1,9 +1,12 @@
-"""Text lines of page images by a command that prints them; each page is a row, and a failing page keeps its error."""
+"""Text lines of page images by a command that prints them, or by a backend of the user's.
+
+Each page is a row, and a failing page keeps its error. A backend is any object that can be pickled, with
+``extract(image, lang)``: a list of strings, or of dicts with text and, if known, bbox (in pixels) and confidence.
+"""
 
 from __future__ import annotations
 
 import os
-import shlex
 import subprocess
 import sys
 import tempfile
@@ -19,9 +22,29 @@ PAGE = "doc_id long, page_index int, lines array<string>, error string"
 SECONDS = 60.0
 
 
+def words_of(template: str) -> list[str]:
+    """A command line's words. White space parts them outside quotes; a backslash keeps the next character, but not in single quotes, and stands for itself at the end. Empty words go, open quotes end with the line."""
+    words, word, quote, i = [], "", "", 0
+    while i < len(template):
+        c = template[i]
+        i += 1
+        if c == "\\" and quote != "'":
+            word += template[i : i + 1] or c
+            i += 1
+        elif quote:
+            quote, word = ("", word) if c == quote else (quote, word + c)
+        elif c in "'\"":
+            quote = c
+        elif c.isspace():
+            words, word = [*words, word], ""
+        else:
+            word += c
+    return [w for w in [*words, word] if w]
+
+
 def arguments(template: str, image: str, lang: str) -> list[str]:
     """The words of the template with {image} and {lang} filled in; without either, both are added at the end."""
-    words = shlex.split(template)
+    words = words_of(template)
     if "{image}" in template or "{lang}" in template:
         return [w.replace("{image}", image).replace("{lang}", lang) for w in words]
     return [*words, image, lang]
@@ -65,3 +88,76 @@ def raw_lines(read: DataFrame, sizes: DataFrame, scale: float = 2.0) -> DataFram
     none = [F.lit(None).cast("double").alias("b" + c) for c in ("x0", "y0", "x1", "y1")]
     each = read.select("doc_id", "page_index", F.posexplode("lines").alias("line_no", "text")).join(sizes, ["doc_id", "page_index"])
     return each.select("doc_id", "page_index", "line_no", "text", F.lit(float(scale)).alias("render_scale"), "page_height", *none, F.lit(None).cast("double").alias("confidence"))
+
+
+class CommandBackend:
+    """Reads a page by a command; several pages at once, because every task starts its own."""
+
+    def __init__(self, template: str, seconds: float = SECONDS):
+        self.template, self.seconds = template, seconds
+
+    def extract(self, image: bytes, lang: str) -> list[str]:
+        lines, error = read_page(image, self.template, lang, self.seconds)
+        if error:
+            raise RuntimeError(error)
+        return lines
+
+
+def resolve_backend(backend=None, environ=os.environ):
+    """The backend given, else the command that the environment names, else none."""
+    if backend is not None:
+        return backend
+    template = environ.get("FOLIOSCOPE_OCR_COMMAND", "").strip()
+    return CommandBackend(template) if template else None
+
+
+RUN = "doc_id long, page_index int, lines array<struct<text:string,bbox:array<double>,confidence:double>>, error string"
+
+
+def run_pages(images: DataFrame, backend, lang: str = "zh", tasks: int | None = None, progress: bool = False) -> DataFrame:
+    """(doc_id, page_index, image and, where rendering failed, error) to RUN, each valid page once. ``progress``: a line to the task's log for each page."""
+
+    def line(x):
+        if isinstance(x, dict):
+            box = x.get("bbox")
+            return {"text": str(x.get("text", "")), "bbox": [float(v) for v in box] if box else None, "confidence": None if x.get("confidence") is None else float(x["confidence"])}
+        return {"text": str(x), "bbox": None, "confidence": None}
+
+    def page(doc, index, image, error):
+        if progress:
+            print(f"OCR document {doc} page {index + 1}", flush=True)
+        if error:
+            return [], error
+        try:
+            return [line(x) for x in backend.extract(bytes(image or b""), lang)], None
+        except Exception as e:  # a page that can't be read keeps its error
+            return [], str(e) or type(e).__name__
+
+    def run(frames):
+        for frame in frames:
+            rows = [page(*r) for r in zip(frame["doc_id"], frame["page_index"], frame["image"], frame["error"], strict=True)]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "page_index": frame["page_index"], "lines": [r[0] for r in rows], "error": [r[1] for r in rows]})
+
+    error = F.col("error") if "error" in images.columns else F.lit(None).cast("string").alias("error")
+    pages = images.select("doc_id", "page_index", "image", error).filter("page_index >= 0").dropDuplicates(["doc_id", "page_index"])
+    return (pages.repartition(tasks) if tasks else pages).mapInPandas(run, RUN)
+
+
+def run_stats(read: DataFrame, backend, requested: int = 1) -> DataFrame:
+    """doc_id and the counters of its OCR pages. A backend that isn't a command counts as serial, and says so if more was asked for; the tasks run in parallel all the same."""
+    requested = max(1, int(requested))
+    command = isinstance(backend, CommandBackend)
+    pages, many = F.count(F.lit(1)), F.lit(requested > 1 and command)
+    told = read.groupBy("doc_id").agg(pages.alias("ocr_pages_attempted"), F.count_if(F.size("lines") > 0).alias("ocr_pages_with_text"), F.sum(F.greatest(F.size("lines"), F.lit(0)).cast("long")).alias("ocr_line_count"))
+    process = many & (F.col("ocr_pages_attempted") > 1)
+    return told.select(
+        "*", F.lit(requested).alias("ocr_parallelism_requested"), F.when(process, F.least(F.lit(requested), F.col("ocr_pages_attempted").cast("int"))).otherwise(1).alias("ocr_parallelism_effective"),
+        F.when(process, "process").otherwise("serial").alias("ocr_parallel_mode"), F.lit(int(requested > 1 and not command)).alias("ocr_parallel_fallback_to_serial"),
+    )
+
+
+def run_lines(read: DataFrame, sizes: DataFrame, scale: float = 2.0) -> DataFrame:
+    """What ``run_pages`` returns, as raw OCR lines. ``sizes``: doc_id, page_index, page_width, page_height."""
+    box = [F.get("line.bbox", F.lit(i)).alias("b" + c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    each = read.select("doc_id", "page_index", F.posexplode("lines").alias("line_no", "line")).join(sizes.select("doc_id", "page_index", "page_width", "page_height"), ["doc_id", "page_index"])
+    return each.select("doc_id", "page_index", "line_no", F.col("line.text").alias("text"), F.lit(float(scale)).alias("render_scale"), "page_width", "page_height", *box, F.col("line.confidence").alias("confidence"))
