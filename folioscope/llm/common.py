@@ -2,62 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import re
-import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Whitespace that parts words: space and U+0009 to U+000D. ``bytes.split()`` parts at the same six.
-WHITE = " \t\n\x0b\x0c\r"
+from ..tables import clean, drop_durable, durable, fresh_path, shared_dir
 
+__all__ = ["WHITE", "clean", "drop_durable", "durable", "fresh_path", "id_text", "join_unique", "numbered", "only_rows", "read_table", "shared_dir", "ship", "spare", "task_count"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local master gets one of its own; on a cluster that raises."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("folioscope.shared.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="folioscope-")
-        spark.conf.set("folioscope.shared.dir", base)
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-    return f"{base.rstrip('/')}/folioscope-{sc.applicationId}"
-
-
-def clean(spark: SparkSession) -> None:
-    """Deletes what this application wrote to the shared folder; for when no result of an operator is read any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: later stages neither recompute it nor need its executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folioscope_path = path
-    return out
-
-
-def drop_durable(*tables: DataFrame | None) -> None:
-    """Deletes tables that ``durable`` wrote and nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "_folioscope_path", None)
-        if path:
-            jvm, jsc = t.sparkSession._jvm, t.sparkSession._jsc
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+#: Whitespace that parts words: space and U+0009 to U+000D. ``bytes.split()`` parts at the same six.
+WHITE = " \t\n\x0b\x0c\r"
 
 
 def ship(spark: SparkSession) -> None:
