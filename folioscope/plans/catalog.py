@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, Config, Rules
+from ..config import DEFAULT, Config, Rules, Thresholds
 from ..functions import similarity as M
 from ..functions import text as T
 from ..operators import candidates as C
@@ -16,6 +16,7 @@ from ..operators import layout as L
 from ..operators import ocr as R
 from ..operators import outline as O
 from ..sources import fixtures as S
+from . import pipeline
 from .oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -155,11 +156,54 @@ def outline_eval(spark, sf_dir):
     return E.evaluation(nodes, _moved(nodes))
 
 
+def ocr_full_page(spark, sf_dir):
+    """Outlines of the text's candidates and, on sparse pages of hybrid documents, OCR's; a page is sparse under 600 characters."""
+    config = Config(DEFAULT.score_weights, Thresholds(min_text_chars_per_page=600), DEFAULT.rules)
+    pages = S.pages(spark, sf_dir)
+    read = S.ocr_raw(spark, sf_dir).join(K.ocr_pages(pages, K.classify(pages, config), False, config), ["doc_id", "page_index"], "left_semi")
+    both = pipeline.both_candidates(C.candidates(S.lines(spark, sf_dir), config), R.ocr_candidates(R.coerce_lines(read), config))
+    return O.outline(O.judged(both, config), config)
+
+
+def _page_headings(spark, sf_dir):
+    """What a page's title may be: the heading alone, and with the line it is joined to: doc_id, page_index, ord, title."""
+    lines = S.lines(spark, sf_dir)
+    held = lines.select("doc_id", "page_index", "line_seq", F.lit(0).alias("gen"), "text").unionByName(C.heading_fragments(lines).filter("single = 0").select("doc_id", "page_index", "line_seq", F.lit(1).alias("gen"), "text"))
+    order = Window.partitionBy("doc_id", "page_index").orderBy("gen", "line_seq")
+    return held.filter(F.col("text").startswith("第")).select("doc_id", "page_index", (F.row_number().over(order) - 1).alias("ord"), F.col("text").alias("title"))
+
+
+def _page_offsets(spark, sf_dir):
+    entries = P.structural_entries(S.entries(spark, sf_dir))
+    return entries, P.page_offset(entries, _page_headings(spark, sf_dir), entries.select("doc_id").distinct().withColumn("start_page", F.lit(1)))
+
+
+def page_offset(spark, sf_dir):
+    return _page_offsets(spark, sf_dir)[1]
+
+
+def confirm_nodes(spark, sf_dir):
+    entries, offsets = _page_offsets(spark, sf_dir)
+    counts = S.lines(spark, sf_dir).groupBy("doc_id").agg((F.max("page_index") + 1).alias("page_count"))
+    return P.confirmed_nodes(entries, offsets, _page_headings(spark, sf_dir), counts, 1).withColumn("confidence", F.round("confidence", 9))
+
+
+def html_heading_lines(spark, sf_dir):
+    """Lines of web pages: what the heading, paragraph, list and bold tags hold, with a size for each tag, and the scores of their text."""
+    tag = F.regexp_extract("part", "^<(h1|h2|h3|p|li|b)>", 1)
+    found = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("(<(?:h1|h2|h3|p|li|b)>[^<]*)"), 1)
+    parts = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.posexplode(found).alias("line_seq", "part"))
+    lines = parts.select("page_id", "line_seq", tag.alias("tag"), T.normalize(F.regexp_replace("part", "^<[^>]*>", "")).alias("title")).filter(F.col("title") != "")
+    size = F.when(F.col("tag") == "h1", T.lit(22)).when(F.col("tag").isin("h2", "h3"), T.lit(18)).otherwise(T.lit(12))
+    return lines.select("*", size.alias("font_size"), F.col("tag").isin("b", "h1", "h2", "h3").alias("is_bold"), T.pattern_score(F.col("title")).alias("pattern"), T.semantic_score(F.col("title")).alias("semantic"), T.numbered_level(F.col("title")).alias("level"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         normalize_titles, position_pattern_semantic, heading_fragments, body_font_profile, scored_candidates, rule_stats, candidate_cap, font_bucket_levels, accept_reject,
         outline_tree, rejected_nodes, outline_text, classify_documents, ocr_page_routing, ocr_line_coercion, ocr_body_height, ocr_candidates, ocr_accept,
         items_to_lines, same_row_clusters, structural_entries, toc_row_join, toc_extent, cover_node, title_similarity, dedupe_nodes, outline_eval,
+        ocr_full_page, page_offset, confirm_nodes, html_heading_lines,
     )
 }

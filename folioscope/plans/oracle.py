@@ -293,3 +293,46 @@ ORACLE = {
     "dedupe_nodes": _DEDUPED,
     "outline_eval": _EVALUATED,
 }
+
+_OCR_ACCEPTED = f"((semantic_score >= 0.6{D} and position_score >= 0.6{D} and total_score >= 0.5{D}) or total_score >= 0.85{D})"
+_BOTH = "doc_id, page_index, line_seq, text, x0, y0, style_score, position_score, pattern_score, semantic_score, total_score, level_hint"
+_ROUTED_OCR = _OCR_CANDIDATES.replace("as confidence from lines where", "as confidence from lines semi join routed using (doc_id, page_index) where")
+ORACLE["ocr_full_page"] = f"""with {_PAGES.replace("char_count >= 20", "char_count >= 600")},
+routed as (select doc_id, page_index from page join class using (doc_id) where doc_type = 'scanned' or (doc_type = 'hybrid' and char_count < 600)),
+text_candidates as (with {_scored(80)} select {_BOTH}, single, 'text' as source from candidates),
+ocr_found as (with {_ROUTED_OCR} select {_BOTH}, single + 2 as single, 'ocr' as source from candidates),
+candidates as (select * from text_candidates union all select * from ocr_found)
+{_JUDGED[len(_scored(80)) :].replace(_ACCEPTED, f"(case when source = 'ocr' then {_OCR_ACCEPTED} else {_ACCEPTED} end)")} select * from outline"""
+
+_OFFSETS = f"""entries as ({ORACLE["structural_entries"]}),
+headings as (with {_FRAGMENTS} select doc_id, page_index, text as title, row_number() over (partition by doc_id, page_index order by gen, line_seq) - 1 as ord
+    from (select doc_id, page_index, line_seq, text, 0 as gen from lines union all select doc_id, page_index, line_seq, text, 1 from fragments where single = 0) where text like '第%'),
+anchors as (select doc_id, printed_page, {_key("title")} as a, row_number() over (partition by doc_id order by entry_seq) - 1 as nth from entries where printed_page is not null qualify nth < 6),
+likes as (select doc_id, page_index, nth, printed_page, max({_title_alike("a", "k")}) as s from (select doc_id, page_index, {_key("title")} as k from headings where page_index between 1 and 80) join anchors using (doc_id) group by all),
+rated as (select *, s - 0.01{D} * nth as score from likes where s >= 0.62{D}),
+sure as (select *, min(case when score >= 0.86{D} then page_index end) over (partition by doc_id) as stop from rated),
+offsets as (select doc_id, page_index as found_page, (page_index + 1 - printed_page)::int as page_offset from sure where stop is null or page_index <= stop
+    qualify row_number() over (partition by doc_id order by score desc, page_index, nth) = 1)"""
+ORACLE["page_offset"] = f"with {_OFFSETS} select * from offsets"
+
+
+def _display(c: str) -> str:
+    value = f"replace({_norm(c)}, ':', '：')"
+    return f"(case when regexp_matches({value}, '{CJK}') then {_squeeze(value)} else {value} end)"
+
+
+ORACLE["confirm_nodes"] = f"""with {_OFFSETS},
+page_counts as (with {_LINES} select doc_id, max(page_index) + 1 as n from lines group by doc_id),
+led as (select e.*, n, printed_page + page_offset - 1 as led from entries e join offsets using (doc_id) join page_counts using (doc_id) where printed_page is not null),
+around as (select *, unnest(range(led - 1, led + 2))::int as p from led),
+rated_pages as (select a.*, p between 0 and n - 1 as inside, h.title as there, coalesce(ord, 0) as ord, case when p between 0 and n - 1 and h.title is not null then {_title_alike(_key("a.title"), _key("h.title"))} else 0{D} end as s
+    from around a left join headings h on h.doc_id = a.doc_id and h.page_index = a.p),
+best as (select * from rated_pages qualify row_number() over (partition by doc_id, entry_seq order by inside desc, round(s - 0.02{D} * abs(p - led), 12) desc, p, ord) = 1),
+picked as (select *, {_squeeze(_norm("title"))} as a, case when s > 0 then {_squeeze(_norm("there"))} end as b from best)
+select doc_id, entry_seq, case when coalesce(regexp_matches(a, '{VOLUME}') and {_units("b")} > {_units("a")} and starts_with(b, a), false) then {_display("there")} else {_display("title")} end as title, level,
+    (case when inside then p else greatest(0, least(n - 1, led)) end)::int as page_index, round(greatest(0.5{D}, least(0.95{D}, 0.6{D} + 0.35{D} * s)), 9) as confidence, 'rule' as source from picked"""
+
+ORACLE["html_heading_lines"] = f"""with parts as (select page_id, regexp_extract_all(coalesce(html, ''), '(<(?:h1|h2|h3|p|li|b)>[^<]*)', 1) as found from pages),
+each as (select page_id, unnest(found) as part, (generate_subscripts(found, 1) - 1)::int as line_seq from parts),
+titled as (select page_id, line_seq, regexp_extract(part, '^<(h1|h2|h3|p|li|b)>', 1) as tag, {_norm("regexp_replace(part, '^<[^>]*>', '')")} as title from each)
+select page_id, line_seq, tag, title, (case when tag = 'h1' then 22 when tag in ('h2', 'h3') then 18 else 12 end){D} as font_size, tag in ('b', 'h1', 'h2', 'h3') as is_bold, {_pattern("title")} as pattern, {_semantic("title")} as semantic, {_level("title")} as level from titled where title <> ''"""
