@@ -50,7 +50,11 @@ with recursive step(w, p, t, live) as (
 select w, list(t order by p) as ids from step where not live group by w
 """
 
-#: The same with all places of the least rank at once: in a run of places that touch, every second one.
+#: The same with all places of the least rank at once: in a run of places that touch, every second one. Contracting one of
+#: them can't make a pair of lower rank elsewhere, if every token of the vocabulary is what its own bytes contract to: let
+#: a, b be a pair of least rank and x, ab one of lower rank. The bytes of xab, contracted alone, go through the contractions
+#: made within them so far, since none crossed their ends, and stand at x, a, b, where no pair has a rank below ab's; so they
+#: would not contract to a token below it. A test holds every token of the vocabulary against that.
 ENCODE_LONG = """
 with recursive step(w, p, t, live) as (
     select w, p, t, true from symbols

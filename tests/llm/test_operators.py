@@ -151,6 +151,19 @@ def test_both_contractions_agree():
     assert [list(x) for x in coder.encode(words)] == [list(x) for x in coder.encode(words, bpe.ENCODE_LONG)]
 
 
+def test_words_at_the_switch(spark):
+    """Around the length at which contraction changes, and the property of the vocabulary that both need."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert all(enc._encode_single_piece(token) == [rank] for token, rank in ranks.items())
+    pieces = ["a", "ab", "the", "ing", "é", "日", "tion", "aaab"]
+    texts = [(p * n)[:size] for size in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3 * bpe.LONG) for p in pieces for n in [size]]
+    texts += ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(60, 400))) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    want = [(i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()) for i, t in enumerate(texts) for ids in [enc.encode_ordinary(t)]]
+    same(bpe.round_trip(docs), want)
+
+
 def naive_stats(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -173,6 +186,19 @@ def test_quality(spark, docs, sf_dir):
         assert quality.statistics(text)[:5] == naive_stats(text)
 
 
+def test_rules_as_an_expression(spark):
+    """The conditional expression rejects what ``covers`` says, rule by rule in order."""
+    rows = [tuple(rnd.randrange(0, 40) for _ in quality.COUNTS) for _ in range(300)]
+    x = quality.rates({c: np.array([r[i] for r in rows], np.float64) for i, c in enumerate(quality.COUNTS)})
+    rules = [[("upper", ">", 0.4), ("words", "<=", 20.0)], [("repeats", ">", 0.9)], [("digits", "<=", 0.1), ("marks", ">", 1.5), ("words_a_line", ">", 0.5)]]
+    covered = np.zeros(len(rows), bool)
+    for rule in rules:
+        covered |= quality.covers(rule, x)
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, " + ", ".join(f"{c} long" for c in quality.COUNTS))
+    got = [r.kept for r in df.select("i", quality.expression(rules).alias("kept")).orderBy("i").collect()]
+    assert got == (~covered).tolist() and 20 < covered.sum() < 280
+
+
 def test_sample_is_bounded(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     stats = quality.text_statistics(docs)
