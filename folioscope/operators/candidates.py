@@ -68,14 +68,21 @@ def heading_fragments(lines: DataFrame) -> DataFrame:
 
 
 def body_font(fragments: DataFrame) -> DataFrame:
-    """doc_id, body_size (the most frequent, the least of equals, 12 if none), body_name ('' if none; the first of equals)."""
-    rounded = F.floor(F.col("font_size") * lit(10) + lit(0.5)).cast("double") / lit(10)
-    sizes = fragments.groupBy("doc_id", F.when(F.col("font_size") > lit(0), rounded).alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    body = sizes.groupBy("doc_id").agg(F.coalesce(F.min(F.when(F.col("size").isNotNull(), F.struct(-F.col("n"), F.col("size").alias("size"))))["size"], lit(12)).alias("body_size"))
-    named = fragments.join(body, "doc_id").filter((F.abs(F.col("font_size") - F.col("body_size")) <= lit(1)) & (F.col("font_name") != ""))
-    names = named.groupBy("doc_id", "font_name").agg((-F.count(F.lit(1))).alias("n"), F.min(F.struct(*ORDER)).alias("first"))
-    name = names.groupBy("doc_id").agg(F.min_by("font_name", F.struct("n", "first")).alias("name"))
-    return body.join(name, "doc_id", "left").select("doc_id", "body_size", F.coalesce("name", F.lit("")).alias("body_name"))
+    """doc_id, body_size (the most frequent, the least of equals, 12 if none), body_name ('' if none; the first of equals).
+
+    Lines are counted once by size and name; what is left of a document is a few sizes and names, looked at in an array.
+    """
+    counted = fragments.groupBy("doc_id", "font_size", "font_name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ORDER)).alias("first"))
+    told = counted.groupBy("doc_id").agg(F.collect_list(F.struct("font_size", "font_name", "n", "first")).alias("p"))
+    rounded = lambda size: F.floor(size * lit(10) + lit(0.5)).cast("double") / lit(10)
+    total = lambda rows: F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    sized = F.filter("p", lambda x: x["font_size"] > lit(0))
+    sizes = F.transform(F.array_distinct(F.transform(sized, lambda x: rounded(x["font_size"]))), lambda r: F.struct(-total(F.filter(sized, lambda x: rounded(x["font_size"]) == r)), r.alias("size")))
+    body = told.select("doc_id", "p", F.coalesce(F.array_min(sizes)["size"], lit(12)).alias("body_size"))
+    near = F.filter("p", lambda x: (F.abs(x["font_size"] - F.col("body_size")) <= lit(1)) & (x["font_name"] != ""))
+    of = lambda name: F.filter(near, lambda x: x["font_name"] == name)
+    names = F.transform(F.array_distinct(F.transform(near, lambda x: x["font_name"])), lambda name: F.struct(-total(of(name)), F.array_min(F.transform(of(name), lambda x: x["first"])), name.alias("name")))
+    return body.select("doc_id", "body_size", F.coalesce(F.array_min(names)["name"], F.lit("")).alias("body_name"))
 
 
 def scored_lines(fragments: DataFrame, config: Config = DEFAULT) -> DataFrame:
