@@ -1,10 +1,12 @@
 """PDF files: reading and writing, and whole jobs over them, with a backend of the test's for OCR."""
 
 import re
+import sys
 import zlib
 
 import pytest
 
+from folioscope import __main__ as cli
 from folioscope.config import Options
 from folioscope.operators import layout as L
 from folioscope.plans import pipeline
@@ -153,6 +155,18 @@ def test_without_ocr(spark, tmp_path):
     assert pdffile.Pdf(bytes(S.without_outlines(again).collect()[0].pdf)).outline() == []
 
 
+def test_command_line_over_files(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/scan.pdf").write_bytes(tagged([[]], "scan"))
+    script = tmp_path / "read.py"
+    script.write_text("print('Appendix ' + open(__import__('sys').argv[1]).read()); print('附录')")
+    monkeypatch.setenv("FOLIOSCOPE_OCR_COMMAND", f"{sys.executable} {script}")
+    cli.main(["--pdfs", str(tmp_path / "in"), "--out", str(tmp_path / "out"), "--enable-ocr", "--ocr-strategy", "full-page", "--renderer", f"{__name__}:Names"])
+    (made,) = (tmp_path / "out/pdf").iterdir()
+    assert pdffile.Pdf(made.read_bytes()).outline() == [("Appendix scan 0", 1, 0), ("附录", 1, 0)]
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "out/report")).select("success", "doc_type").collect()] == [(True, "scanned")]
+
+
 def tagged(pages, name, **more):
     return build(pages, extra=b"/Tag(%s)" % name.encode(), **more)
 
