@@ -42,3 +42,13 @@ def test_command(spark, tmp_path):
     assert R.arguments("ocr --lang {lang} {image}", "/a b.png", "zh") == ["ocr", "--lang", "zh", "/a b.png"]
     sizes = spark.createDataFrame([(1, 0, 800.0), (2, 0, 800.0)], "doc_id long, page_index int, page_height double")
     assert R.raw_lines(R.read_images(images, f"{sys.executable} {script}"), sizes).count() == 3
+
+
+def test_unwanted_licenses(spark, tmp_path):
+    from folioscope.sources.lockfile import unwanted_licenses
+
+    packages = {"": {"license": "GPL-3.0"}, "node_modules/a": {"license": "MIT"}, "node_modules/b": {"license": "(MIT OR AGPL-3.0)"}, "node_modules/c": {"name": "c", "license": "LGPL-2.1"}, "node_modules/d": {}, "src/e": {"license": "GPL"}}
+    path = tmp_path / "lock.json"
+    path.write_text(json.dumps({"name": "x", "packages": packages}, indent=1))
+    assert sorted(tuple(r) for r in unwanted_licenses(spark, str(path)).collect()) == [("node_modules/b", "(MIT OR AGPL-3.0)"), ("node_modules/c", "LGPL-2.1")]
+    assert [r.package for r in unwanted_licenses(spark, str(path), ("c",)).collect()] == ["node_modules/b"]
