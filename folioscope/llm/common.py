@@ -71,10 +71,23 @@ def spare(columns: list[str], name: str) -> str:
     return name
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether the plan only reads files: columns may be chosen, nothing else happens."""
+    node = docs._jdf.queryExecution().optimizedPlan()
+    while node.getClass().getSimpleName() == "Project" and node.deterministic():
+        node = node.child()
+    return node.getClass().getSimpleName() == "LogicalRelation"
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` as a written table with a number for each row, and the number's column, which is new whatever columns there are."""
+    """``docs`` with a number for each row, and the number's column, which is new whatever columns there are.
+
+    The number tells the task and the place in it, and must be the same whenever the table is read. Reading files it is, as
+    files are always parted alike and a task that runs again reads the same; anything else is written first.
+    """
     name = spare(docs.columns, "row")
-    return durable(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    out = docs.withColumn(name, F.monotonically_increasing_id())
+    return (out if _is_scan(docs) else durable(out, "numbered")), name
 
 
 def only_rows(docs: DataFrame, name: str, kept: DataFrame) -> DataFrame:

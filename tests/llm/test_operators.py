@@ -18,7 +18,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from folioscope.llm import anchors, bpe, catalog, exact, licenses, packing, private, quality, runindex, simhash, substrings, token_counts, vocab, warc, zipstore
+from folioscope.llm import anchors, bpe, catalog, common, exact, licenses, packing, private, quality, runindex, simhash, substrings, token_counts, vocab, warc, zipstore
 
 rnd = random.Random(5)
 LONG = " ".join(rnd.choice(["the", "of", "alpha", "Beta,", "é", "x1"]) + str(rnd.randrange(900)) for _ in range(6000))
@@ -315,6 +315,18 @@ def test_keeping_goes_by_rows(spark):
         assert tuple(k[1:]) == (full[k[0]][0], text, len(text or ""), *full[k[0]][3:])
 
 
+def test_row_numbers(spark, tmp_path):
+    """A table that is only read gets numbers that hold; one that is worked out is written first."""
+    rows, schema = odd_rows()
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    for docs, written in ((scan, False), (scan.select("doc_id", "text", "spans", "n_chars"), False), (scan.repartition(3), True), (scan.filter("doc_id > 1"), True), (scan.sample(0.5), True)):
+        out, name = common.numbered(docs)
+        assert bool(getattr(out, "_folioscope_path", None)) == written and name not in docs.columns
+        whole, few = {r[name]: r.text for r in out.collect()}, {r[name]: r.text for r in out.select(name, "text").filter("length(text) > 5").collect()}
+        assert len(whole) == out.count() and few.items() <= whole.items()
+
+
 def test_kept_rows_of_an_empty_table(spark):
     docs = spark.createDataFrame([], odd_rows()[1])
     labels = spark.createDataFrame([], "doc_id long, quality int")
