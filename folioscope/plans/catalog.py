@@ -16,6 +16,7 @@ from ..operators import layout as L
 from ..operators import ocr as R
 from ..operators import outline as O
 from ..sources import fixtures as S
+from ..tables import durable
 from . import pipeline
 from .oracle import ORACLE
 
@@ -152,7 +153,7 @@ def _moved(nodes):
 
 
 def outline_eval(spark, sf_dir):
-    nodes = O.outline(_judged(spark, sf_dir))
+    nodes = durable(O.outline(_judged(spark, sf_dir)), "outline")  # both sides read it
     return E.evaluation(nodes, _moved(nodes))
 
 
