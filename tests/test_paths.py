@@ -4,22 +4,23 @@ import json
 import sys
 
 from folioscope import __main__ as cli
+from folioscope.operators import candidates as C
 from folioscope.operators import layout as L
+from folioscope.operators import outline as O
 from folioscope.sources import fixtures as S
 from folioscope.sources import ocr_command as R
 from folioscope.sources import sinks
 
 
 def test_command_line(spark, sf_dir, tmp_path):
-    import __spark_entry__ as entry
-
     S.items(spark, sf_dir).write.parquet(str(tmp_path / "items"))
     cli.main(["--items", str(tmp_path / "items"), "--out", str(tmp_path / "out")])
     got = {r.doc_id: json.loads(r.json) for r in spark.read.schema("doc_id long, json string").json(str(tmp_path / "out/outline")).collect()}
     lines = L.items_to_lines(S.items(spark, sf_dir))
     assert got and set(got) <= {r.doc_id for r in lines.select("doc_id").distinct().collect()}
     want = {}
-    for r in sorted(entry.queries()["outline_tree"](spark, sf_dir).collect(), key=lambda r: (r.doc_id, r.node_seq)):
+    held = S.lines(spark, sf_dir).filter("trim(text) <> ''")  # no item is blank, so no line is
+    for r in sorted(O.outline(O.judged(C.candidates(held))).collect(), key=lambda r: (r.doc_id, r.node_seq)):
         want.setdefault(r.doc_id, []).append((r.title, r.level, r.page_index))
     assert {d: [(n["title"], n["level"], n["page_index"]) for n in ns if n["title"] != "封面"] for d, ns in got.items()} == want
     report = spark.read.json(str(tmp_path / "out/report"))
