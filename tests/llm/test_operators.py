@@ -545,6 +545,27 @@ def test_repeated_strings_in_long_texts(spark):
         same(substrings.repeated_strings(df, hot=hot, segment=segment), want)
 
 
+def test_occurrences_of_hot_strings_stay_few(spark, monkeypatch):
+    """A passage of far more texts than ``hot``, whole or with a changed byte: rows go by grams and cells, not by windows, and the result is whole."""
+    passage = "".join(rnd.choice("abcdefgh ") for _ in range(1500))
+    around = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(300))
+    changed = [passage[:i] + "#" + passage[i + 1 :] for i in range(50, 1450, 70)]
+    texts = [around() + x + around() for x in [passage] * 60 + changed] + [around() + passage + passage[:700] + around(), passage, passage]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    joined = []
+
+    def counting(left, right, key, held, total):
+        joined.extend([left.join(right, key).count()] if key == "sid" else [])
+        return common.join_unique(left, right, key, held, total)
+
+    monkeypatch.setattr(substrings, "join_unique", counting)
+    want = [(d, *x) for d, x in enumerate(naive_removal_of_long(texts, 400))]
+    for hot in (8, 30):
+        same(substrings.repeated_strings(df, hot=hot), want)
+    windows = 60 * (len(passage) - 399)
+    assert all(0 < n < windows / 8 for n in joined), (joined, windows)
+
+
 def test_owners_do_not_depend_on_segments():
     data = "".join(rnd.choice("abc ") for _ in range(9000)).encode()
     spread = lambda segment: [(s, p) for f, z, p, _ in zip(*anchors.owned(data, 400, segment=segment), strict=True) for s in range(f, z + 1)]
